@@ -2,8 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, token_files
 from .common import table
+from .subwords import public
+
+
+def op1_token_files(spark, sf_dir):
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"), end_id=1))
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -11,6 +16,11 @@ def op3_exact_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_packing(spark, sf_dir):
+    packed = packing.pack(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), end_id=0, capacity=2048, with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,5 +52,5 @@ c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
 """
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op7_mixing": op7_mixing}
+QUERIES = {"op1_token_files": op1_token_files, "op5_packing": op5_packing, "op3_exact_dedup": op3_exact_dedup, "op7_mixing": op7_mixing}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL}
