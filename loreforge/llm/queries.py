@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, token_files
+from . import exact_dedup, mixing, packing, simhash, token_files
 from .common import table
 from .subwords import public
 
@@ -21,6 +21,11 @@ def op5_packing(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_simhash_near_dedup(spark, sf_dir):
+    found = simhash.groups(simhash.fingerprints(table(spark, sf_dir, "documents"), width=4), bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,5 +57,5 @@ c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
 """
 
-QUERIES = {"op1_token_files": op1_token_files, "op5_packing": op5_packing, "op3_exact_dedup": op3_exact_dedup, "op7_mixing": op7_mixing}
+QUERIES = {"op1_token_files": op1_token_files, "op5_packing": op5_packing, "op3_exact_dedup": op3_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_mixing": op7_mixing}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL}
