@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, token_files
+from . import exact_dedup, mixing, packing, simhash, token_files, vectors
 from .common import table
 from .subwords import public
 
@@ -30,6 +30,10 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_embedding_near_dedup(spark, sf_dir):
+    return vectors.links(table(spark, sf_dir, "embeddings"), threshold=0.9).select("vec_id", "n_links", "component_id", "kept")
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents)
@@ -57,5 +61,6 @@ c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
 """
 
-QUERIES = {"op1_token_files": op1_token_files, "op5_packing": op5_packing, "op3_exact_dedup": op3_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_mixing": op7_mixing}
+QUERIES = {"op1_token_files": op1_token_files, "op5_packing": op5_packing, "op3_exact_dedup": op3_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_mixing": op7_mixing,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL}
