@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, token_files, vectors
+from . import exact_dedup, mixing, packing, quality, simhash, token_files, toxicity, vectors
 from .common import table
 from .subwords import public
 
@@ -30,6 +30,22 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.rate(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_toxicity(spark, sf_dir):
+    found = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "n_sentences", "worst_score")
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_embedding_near_dedup(spark, sf_dir):
     return vectors.links(table(spark, sf_dir, "embeddings"), threshold=0.9).select("vec_id", "n_links", "component_id", "kept")
 
@@ -62,5 +78,6 @@ SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND middl
 """
 
 QUERIES = {"op1_token_files": op1_token_files, "op5_packing": op5_packing, "op3_exact_dedup": op3_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_mixing": op7_mixing,
+    "op8_quality_classifier": op8_quality_classifier, "op9_toxicity": op9_toxicity, "pipeline": pipeline,
     "op10_embedding_near_dedup": op10_embedding_near_dedup}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL}
