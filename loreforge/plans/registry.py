@@ -1,4 +1,150 @@
-"""The registered queries, and the SQL that gives the same rows."""
+"""The registered queries, each over its whole tables, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import functions as F
+
+from ..functions import user
+from ..operators import catalogue, cleaning, duplicates, index, knowledge, search, usage
+from ..sources.tables import load, load_stream, shared
+from ..streaming import streams
+from .oracles import ORACLES  # noqa: F401
+
+
+def _of(fn, *tables):
+    """A query: fn on the named tables."""
+    return lambda spark, d: fn(*[load(spark, d, t) for t in tables])
+
+
+def _passages(benchmark):
+    return benchmark.select(F.col("item_id").alias("query_id"), "text")
+
+
+def _asked(df, id_col="vec_id"):
+    """The rows that searches take as queries."""
+    return df.where(F.col(id_col) % 20 == 0)
+
+
+def _bm25(documents, benchmark):
+    return search.bm25(documents, _passages(benchmark))
+
+
+def _fused(documents, benchmark):
+    return search.fuse([_bm25(documents, benchmark), search.tfidf(documents, _passages(benchmark))])
+
+
+def _evaluate(documents, benchmark):
+    relevant = duplicates.contains_passage(documents, benchmark).withColumnRenamed("item_id", "query_id")
+    return search.evaluate(_bm25(documents, benchmark), relevant)
+
+
+def _turns(documents, conversations):
+    asked = _asked(usage.qa_pairs(conversations), "conv_id").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("question").alias("text"))
+    return search.bm25(documents, asked, k=3)
+
+
+def _index(spark, d):
+    path = index.write_index(index.counts(load(spark, d, "documents")))
+    return index.read_index(spark, path).groupBy(F.col("bucket").cast("string").alias("bucket")).agg(F.count_distinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_postings"))
+
+
+def _stream(fn, mode="append"):
+    return lambda spark, d: streams.drain(fn(load_stream(spark, d, "events")), mode)
+
+
+def _documents_stream(spark, d):
+    return streams.stream_index(spark.readStream.schema(load(spark, d, "documents").schema).parquet(_copied(spark, d)))
+
+
+def _copied(spark, d):
+    path = shared(spark, "documents")
+    load(spark, d, "documents").write.parquet(path)
+    return path
+
+
+def _user_fn(spark, d):
+    fn = user.register_fn(spark, "vowels", lambda s: s.fillna("").str.count("[aeiouAEIOU]").astype("int64"), "bigint")
+    return load(spark, d, "documents").select("doc_id", fn("text").alias("n_vowels"))
+
+
+class _Lines:
+    def eval(self, text: str):
+        for n, line in enumerate((text or "").split("\n")):
+            yield n, line
+
+
+def _user_table_fn(spark, d):
+    user.register_table_fn(spark, "text_lines", _Lines, "n int, line string")
+    load(spark, d, "documents").createOrReplaceTempView("__documents")
+    return spark.sql("SELECT doc_id, CAST(n AS BIGINT) AS n, line FROM __documents, LATERAL text_lines(text)")
+
+
+def _user_agg(spark, d):
+    fn = user.register_agg(spark, "value_range", lambda s: float(s.max() - s.min()) if len(s) else float("nan"), "double")
+    return load(spark, d, "events").groupBy("user_id").agg(F.round(fn("value"), 6).alias("value_range"))
+
+
+def _positions(documents):
+    return index.postings(documents).select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+def _term_stats(documents):
+    return index.term_stats(index.counts(documents)).join(F.broadcast(index.corpus_stats(documents))).select("term", "df", "cf", "n", F.round("mean_length", 6).alias("mean_length"))
+
+
+QUERIES = {
+    "k01_load": _of(lambda c: c, "conversations"),
+    "k02_canonical_pages": _of(catalogue.canonical_pages, "pages"),
+    "k03_page_text": _of(catalogue.page_text, "pages"),
+    "k04_page_links": _of(catalogue.page_links, "pages"),
+    "k05_catalogue": _of(catalogue.catalogue, "documents"),
+    "k06_find_docs": _of(lambda d: catalogue.find_docs(d, "en", "src1", 100, 20), "documents"),
+    "k07_length_stats": _of(catalogue.length_stats, "documents"),
+    "k08_quality_measures": _of(cleaning.quality_measures, "documents"),
+    "k09_find_pii": _of(cleaning.find_pii, "documents"),
+    "k10_mask_pii": _of(cleaning.mask_pii, "documents"),
+    "k11_repeated_lines": _of(cleaning.repeated_lines, "documents"),
+    "k12_drop_repeated_lines": _of(lambda d: cleaning.drop_repeated_lines(d, cleaning.repeated_lines(d)), "documents"),
+    "k13_exact_duplicates": _of(duplicates.exact_duplicates, "documents"),
+    "k14_near_duplicates": _of(duplicates.near_duplicates, "documents"),
+    "k15_near_duplicates_lsh": _of(duplicates.near_duplicates_lsh, "documents"),
+    "k16_duplicate_clusters": _of(lambda d: duplicates.duplicate_clusters(duplicates.near_duplicates(d)), "documents"),
+    "k17_contains_passage": _of(duplicates.contains_passage, "documents", "benchmark"),
+    "k18_chunk": _of(index.chunk, "documents"),
+    "k19_postings": _of(_positions, "documents"),
+    "k20_term_stats": _of(_term_stats, "documents"),
+    "k21_write_index": _index,
+    "k22_boolean_search": _of(lambda d: search.boolean_search(index.counts(d), ["the"], ["tion", "this", "that"], ["was"]), "documents"),
+    "k23_bm25": _of(_bm25, "documents", "benchmark"),
+    "k24_top_terms": _of(search.top_terms, "documents"),
+    "k25_phrase_search": _of(lambda d: search.phrase_search(d, ["of", "the"]), "documents"),
+    "k26_knn": _of(lambda v: search.knn(v, _asked(v)), "embeddings"),
+    "k27_knn_lsh": _of(lambda v: search.knn_lsh(v, _asked(v)), "embeddings"),
+    "k28_knn_filtered": _of(lambda v: search.knn(v.where("label = 3"), _asked(v)), "embeddings"),
+    "k29_fuse": _of(_fused, "documents", "benchmark"),
+    "k30_similar_docs": _of(lambda d: search.similar_docs(search.top_terms(d), _asked(d, "doc_id")), "documents"),
+    "k31_evaluate": _of(_evaluate, "documents", "benchmark"),
+    "k32_label_rates": _of(knowledge.label_rates, "documents", "labels"),
+    "k33_unlabelled": _of(knowledge.unlabelled, "documents", "labels"),
+    "k34_cooccurrence": _of(knowledge.cooccurrence, "documents"),
+    "k35_centroids": _of(knowledge.centroids, "embeddings"),
+    "k36_knn_label": _of(lambda v: knowledge.knn_label(search.knn(v, _asked(v)), v), "embeddings"),
+    "k37_quality_model": _of(knowledge.quality_model, "documents", "labels"),
+    "k38_threads": _of(usage.threads, "conversations"),
+    "k39_qa_pairs": _of(usage.qa_pairs, "conversations"),
+    "k40_retrieve_for_turns": _of(_turns, "documents", "conversations"),
+    "k41_usage_tumbling": _of(usage.usage_tumbling, "events"),
+    "k42_usage_sliding": _of(usage.usage_sliding, "events"),
+    "k43_sessions": _of(usage.sessions, "events"),
+    "k44_running_usage": _of(usage.running_usage, "events"),
+    "k45_funnel": _of(usage.funnel, "events"),
+    "k46_usage_by_prop": _of(usage.usage_by_prop, "events"),
+    "k47_active_users_approx": _of(usage.active_users_approx, "events"),
+    "k48_stream_usage": _stream(streams.stream_usage),
+    "k49_stream_sessions": _stream(streams.stream_sessions),
+    "k50_stream_dedup": _stream(streams.stream_dedup),
+    "k51_stream_view_purchase": _stream(streams.stream_view_purchase),
+    "k52_stream_user_state": _stream(streams.stream_user_state, "update"),
+    "k53_stream_index": _documents_stream,
+    "k54_register_fn": _user_fn,
+    "k55_register_table_fn": _user_table_fn,
+    "k56_register_agg": _user_agg,
+}
