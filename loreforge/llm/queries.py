@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, simhash, token_files, toxicity, vectors
+from . import exact_dedup, licenses, mixing, packing, quality, simhash, token_files, toxicity, vectors
 from .common import table
 from .subwords import public
 
@@ -16,6 +16,10 @@ def op3_exact_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark, sf_dir):
     packed = packing.pack(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), end_id=0, capacity=2048, with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -78,6 +82,6 @@ SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND middl
 """
 
 QUERIES = {"op1_token_files": op1_token_files, "op5_packing": op5_packing, "op3_exact_dedup": op3_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_mixing": op7_mixing,
-    "op8_quality_classifier": op8_quality_classifier, "op9_toxicity": op9_toxicity, "pipeline": pipeline,
+    "op4_license_scan": op4_license_scan, "op8_quality_classifier": op8_quality_classifier, "op9_toxicity": op9_toxicity, "pipeline": pipeline,
     "op10_embedding_near_dedup": op10_embedding_near_dedup}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL}
