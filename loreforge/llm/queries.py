@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, packing, quality, simhash, token_files, toxicity, vectors
+from . import exact_dedup, licenses, lm_scoring, mixing, packing, quality, simhash, token_files, toxicity, vectors
 from .common import table
 from .subwords import public
 
@@ -11,6 +11,10 @@ def op1_token_files(spark, sf_dir):
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"), end_id=1))
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return lm_scoring.score(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), end_id=50256)
+
+
 def op3_exact_dedup(spark, sf_dir):
     found = exact_dedup.copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -82,6 +86,6 @@ SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND middl
 """
 
 QUERIES = {"op1_token_files": op1_token_files, "op5_packing": op5_packing, "op3_exact_dedup": op3_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_mixing": op7_mixing,
-    "op4_license_scan": op4_license_scan, "op8_quality_classifier": op8_quality_classifier, "op9_toxicity": op9_toxicity, "pipeline": pipeline,
+    "op2_lm_scoring": op2_lm_scoring, "op4_license_scan": op4_license_scan, "op8_quality_classifier": op8_quality_classifier, "op9_toxicity": op9_toxicity, "pipeline": pipeline,
     "op10_embedding_near_dedup": op10_embedding_near_dedup}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL}
