@@ -77,20 +77,25 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 200, rate: float = 0.
     if not len(texts) or labels.min() == labels.max():
         return Model(np.zeros(SIZE, np.float32), bias)
     memo, rows, sentence = Hashed(), [], []  # rows: a document's features; sentence: which of all sentences each is in
-    n, of_doc = 0, []
+    n, of_doc, docs = 0, [], np.zeros(SIZE, np.int32)
     for i, text in enumerate(texts):
+        there: set[int] = set()
         for s in split([text])[0]:
             own = {memo[f] for w in _WORD.findall(s.lower()) for f in features(w)}
             rows.append(np.fromiter(own, np.int32, len(own)))
             sentence.append(np.full(len(own), n, np.int32))
+            there |= own
             of_doc.append(i)
             n += 1
-    places, sentence, of_doc = np.concatenate(rows), np.concatenate(sentence), np.array(of_doc)
-    pairs = np.unique(of_doc[sentence].astype(np.int64) * SIZE + places)
-    often = np.bincount(pairs % SIZE, minlength=SIZE) >= least
-    keep = often[places]
-    used, places = np.unique(places[keep], return_inverse=True)
-    sentence = sentence[keep]
+        docs[np.fromiter(there, np.int32, len(there))] += 1
+    often = docs >= least
+    used = np.flatnonzero(often)
+    at = np.cumsum(often, dtype=np.int32) - 1
+    keep = [often[r] for r in rows]
+    places = np.concatenate([at[r[k]] for r, k in zip(rows, keep, strict=True)])
+    sentence = np.concatenate([x[k] for x, k in zip(sentence, keep, strict=True)])
+    of_doc = np.array(of_doc, np.int32)
+    del rows, keep
     w, moves = np.zeros(len(used) + 1), Adam(len(used) + 1, rate)
     w[-1] = bias
     for _ in range(steps):
