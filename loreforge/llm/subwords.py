@@ -8,6 +8,7 @@ letters are cut there, and each distinct piece is encoded once; all others are e
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 
@@ -15,7 +16,7 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _MARK = "!-@\\[-`{-~"
 _BLANK = "\t-\r "
 _PLAIN = re.compile(f"[{_LETTER}{_MARK}{_BLANK}]*")
-#: A word, with its blank if there is one: encoded in rows of many, one to a line, as no part reaches across line ends.
+#: A word, with its blank if there is one: encoded in rows of many, parted by line ends, which no part reaches across.
 _WORD = re.compile(f" ?[{_LETTER}]+")
 _PIECE = re.compile(f"[{_BLANK}]*(?:[{_MARK}]*[{_LETTER}]+|[{_MARK}]+)|[{_BLANK}]+")
 #: Characters encoded at once.
@@ -52,30 +53,44 @@ class Encoder:
 
     def _learn(self):
         if self.new:
-            ids: list = [None] * len(self.new)
-            words = [i for i, piece in enumerate(self.new) if _WORD.fullmatch(piece)]
-            rest = [i for i, piece in enumerate(self.new) if not _WORD.fullmatch(piece)]
-            for group, found in ((words, self._lines([self.new[i] for i in words])), (rest, self._whole([self.new[i] for i in rest]))):
-                for i, x in zip(group, found, strict=True):
-                    ids[i] = x
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, *ids])
+            plain = [_WORD.fullmatch(piece) is not None for piece in self.new]
+            order = np.argsort(~np.array(plain), kind="stable")  # words, then the rest
+            words = [piece for piece, is_word in zip(self.new, plain, strict=True) if is_word]
+            ids, lengths = self._lines(words)
+            rest = self._whole([piece for piece, is_word in zip(self.new, plain, strict=True) if not is_word])
+            lengths = np.concatenate([*lengths, np.fromiter(map(len, rest), np.int64, len(rest))])
+            starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            starts[order], sizes[order] = len(self.flat) + np.cumsum(lengths) - lengths, lengths
+            self.starts = np.concatenate([self.starts, starts])
+            self.lengths = np.concatenate([self.lengths, sizes])
+            self.flat = np.concatenate([self.flat, *ids, *rest])
             self.new.clear()
 
+    def _mark(self) -> tuple[str, int] | None:
+        """What goes between words encoded in a row, and its one id, which no word has."""
+        for mark in ("\n", "\n,\n"):
+            ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
+            if len(ids) == 1:
+                return mark, ids[0]
+        return None
+
     def _lines(self, words):
-        out = []
+        """The words' ids in a row and their lengths, as lists of arrays."""
+        flat, lengths, mark = [], [], self._mark()
         for i in range(0, len(words), 4096):
             group = words[i : i + 4096]
-            done = self.tokenizer.encode("\n".join(group), add_special_tokens=False)
-            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
-            starts = np.array([a for a, _ in done.offsets], np.int64)
-            ids = np.array(done.ids, self.dtype)
-            line = np.searchsorted(ends, starts, "right")
-            own = starts != ends[line] - 1  # the others are line ends
-            out += np.split(ids[own], np.searchsorted(line[own], np.arange(1, len(group))))
-        return out
+            if mark:
+                ids = self._whole([mark[0].join(group)])[0]
+                between = ids == mark[1]
+                ends = np.append(np.flatnonzero(between), len(ids))
+            if mark and len(ends) == len(group):
+                flat.append(ids[~between])
+                lengths.append(np.diff(ends, prepend=-1) - 1)
+            else:
+                found = self._whole(group)
+                flat += found
+                lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return flat, lengths
 
     def _whole(self, texts):
         out = []
@@ -103,8 +118,7 @@ class Encoder:
             self._forget()
         found = [_PIECE.findall(texts[i]) for i in group]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        get = self.places.__getitem__
-        places = np.fromiter((p for pieces in found for p in map(get, pieces)), np.int64, int(counts.sum()))
+        places = np.fromiter(map(self.places.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
         self._learn()
         lengths = self.lengths[places]
         ends = np.cumsum(lengths)
