@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.tables import keep
 from .index import counts, term_stats
 
 #: Vectors of a block.
@@ -72,18 +73,16 @@ def phrase_search(documents: DataFrame, phrase: list[str]) -> DataFrame:
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min("pos").cast("bigint").alias("first_pos"))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, n_vectors: int | None = None, n_queries: int | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank by cosine in double precision, exact: blocks of queries against blocks of vectors.
+def _rows(df: DataFrame) -> DataFrame:
+    return df.where("exists(embedding, x -> x <> 0)").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
-    Each block keeps its k best per query, so k rows a query leave it. Null and zero vectors find and are found by nothing.
-    """
-    rows = lambda df: df.where("exists(embedding, x -> x <> 0)").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    nd = -(-(n_vectors or vectors.count()) // BLOCK) or 1
-    nq = -(-(n_queries or queries.count()) // BLOCK) or 1
+
+def _best(data: DataFrame, asked: DataFrame, k: int, nd: int, nq: int, *on: str) -> DataFrame:
+    """query_id, vec_id, score: the k best of each block of data (equal in on), for each of asked. nd, nq: numbers of blocks."""
     block = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows(vectors).withColumn("db", block(nd, 1)).withColumn("qb", every(nq))
-    asked = rows(queries).withColumn("qb", block(nq, 2)).withColumn("db", every(nd))
+    data = data.withColumn("db", block(nd, 1)).withColumn("qb", every(nq))
+    asked = asked.withColumn("qb", block(nq, 2)).withColumn("db", every(nd))
 
     def best(q: pa.Table, d: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -101,20 +100,44 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, n_vectors: int | No
         i, j, s = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"query_id": i[s > -2], "vec_id": j[s > -2], "score": s[s > -2]})
 
-    found = asked.groupBy("qb", "db").cogroup(data.groupBy("qb", "db")).applyInArrow(best, "query_id long, vec_id long, score double")
-    return ranked(found, "query_id", "vec_id", k)
+    return asked.groupBy(*on, "qb", "db").cogroup(data.groupBy(*on, "qb", "db")).applyInArrow(best, "query_id long, vec_id long, score double")
 
 
-def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, bucket: float = 0.5, tables: int = 8, reach: float = 0.7) -> DataFrame:
-    """Approximate: random projections, then distances of up to reach."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, n_vectors: int | None = None, n_queries: int | None = None) -> DataFrame:
+    """query_id, vec_id, score, rank by cosine in double precision, exact: blocks of queries against blocks of vectors.
 
-    rows = vectors.where("exists(embedding, x -> x <> 0)").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(rows)
-    pairs = model.approxSimilarityJoin(rows.join(queries.select("vec_id"), "vec_id", "left_semi"), rows, reach, "distance")
-    pairs = pairs.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), F.round(1 - F.col("distance") ** 2 / 2, 6).alias("score"))
-    return ranked(pairs.where("query_id <> vec_id"), "query_id", "vec_id", k)
+    Each block keeps its k best per query, so k rows a query leave it. Null and zero vectors find and are found by nothing.
+    """
+    nd = -(-(n_vectors or vectors.count()) // BLOCK) or 1
+    nq = -(-(n_queries or queries.count()) // BLOCK) or 1
+    return ranked(_best(_rows(vectors), _rows(queries), k, nd, nq), "query_id", "vec_id", k)
+
+
+def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, bucket: float = 0.5, tables: int = 8) -> DataFrame:
+    """Approximate: random projections of the vectors' directions, then the best by cosine of all that share a bucket in some table.
+
+    Each bucket keeps its k best per query, as :func:`knn` does of its blocks. Queries that find fewer than k are asked again by :func:`knn`.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = _rows(vectors)
+    if rows.isEmpty():
+        return knn(vectors, queries, k)
+    units = Normalizer(inputCol="raw", outputCol="u").transform(rows.withColumn("raw", array_to_vector("v")))
+    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(units)
+    each = model.transform(units).select("vec_id", "v", F.posexplode("h").alias("table", "h"))
+    hashed = keep(each.select("vec_id", "v", "table", vector_to_array("h")[0].cast("long").alias("bucket")), "hashed")
+    asked = hashed.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
+    nd, nq = -(-vectors.count() // BLOCK), -(-queries.count() // BLOCK) or 1
+    found = _best(hashed, asked, k, nd, nq, "table", "bucket").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = keep(ranked(found, "query_id", "vec_id", k), "found")
+    full = keep(found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id"), "full")
+    short = keep(queries.join(full, queries["vec_id"] == full["query_id"], "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    return found.join(full, "query_id", "left_semi").unionByName(knn(vectors, short, k))
 
 
 def fuse(lists: list[DataFrame], k: int = 10) -> DataFrame:
