@@ -3,7 +3,8 @@
 A tokenizer of the byte-level or word kind encodes the parts of a text alone, so a text's ids are its parts'
 ids in a row if it is cut where no part can reach across. That is certain (1) after a letter before an ASCII
 character that is none, and (2) before a blank that follows a character that is none. Texts of ASCII and Latin
-letters are cut there, and each distinct piece is encoded once; all others are encoded whole.
+letters are cut there, and each distinct piece is encoded once; all others are encoded whole, and so are texts that
+may hold the string of a special token, which the tokenizer takes for that token.
 """
 
 import re
@@ -15,6 +16,7 @@ import numpy as np
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _MARK = "!-@\\[-`{-~"
 _BLANK = "\t-\r "
+_MARKS = re.compile(f"[{_MARK}]{{2}}")
 _PLAIN = re.compile(f"[{_LETTER}{_MARK}{_BLANK}]*")
 #: A word, with its blank if there is one: encoded in rows of many, parted by line ends, which no part reaches across.
 _WORD = re.compile(f" ?[{_LETTER}]+")
@@ -24,16 +26,22 @@ SLICE = 4_000_000
 
 
 class Encoder:
-    """path: a tokenizers file, which the executors must have too. memory: pieces kept at most."""
+    """path: a tokenizers file, which the executors must have too. memory: pieces kept at most.
 
-    def __init__(self, path: str, memory: int = 1_000_000):
+    special: whether the strings of special tokens in a text are those tokens, as the library has it, or ordinary text.
+    """
+
+    def __init__(self, path: str, memory: int = 400_000, special: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        tokens = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        #: Each special token begins with one of these; marks have no case and are not changed by normalisers.
+        self.hints = sorted({t[:2] if _MARKS.fullmatch(t[:2]) else "" for t in tokens})
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.memory = memory
@@ -92,6 +100,18 @@ class Encoder:
                 lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
         return flat, lengths
 
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, each encoded alone, in a row, and how many each has."""
+        plain = np.fromiter((_WORD.fullmatch(w) is not None for w in words), bool, len(words))
+        out, lengths = np.empty(len(words), object), np.empty(len(words), np.int64)
+        ids, each = self._lines([w for w, own in zip(words, plain.tolist(), strict=True) if own])
+        lengths[plain] = np.concatenate([np.zeros(0, np.int64), *each])
+        out[plain] = np.fromiter(np.split(np.concatenate([np.zeros(0, self.dtype), *ids]), np.cumsum(lengths[plain])[:-1]) if plain.any() else [], object, int(plain.sum()))
+        rest = self._whole([w for w, own in zip(words, plain.tolist(), strict=True) if not own])
+        lengths[~plain] = np.fromiter(map(len, rest), np.int64, len(rest))
+        out[~plain] = np.fromiter(rest, object, len(rest))
+        return np.concatenate([np.zeros(0, self.dtype), *out]), lengths
+
     def _whole(self, texts):
         out = []
         for i in range(0, len(texts), 4096):  # few encodings in memory at a time
@@ -102,7 +122,7 @@ class Encoder:
         out: list = [None] * len(texts)
         group, held = [], 0
         for i, text in enumerate(texts):
-            if _PLAIN.fullmatch(text):
+            if _PLAIN.fullmatch(text) and not any(h in text for h in self.hints):
                 group.append(i)
                 held += len(text)
                 if held > SLICE:
@@ -131,11 +151,11 @@ class Encoder:
 _encoders: dict = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, special: bool = True) -> Encoder:
+    """One for each Python worker and way."""
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special=special)
+    return _encoders[path, special]
 
 
 def crc(ids: np.ndarray) -> int:

@@ -3,9 +3,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from loreforge.llm import packing
-from loreforge.llm.subwords import Encoder, crc, public
+from loreforge.llm.subwords import crc, public
 
 NAME = "byte_bpe_50k.json"
 
@@ -51,7 +52,7 @@ def test_plan_does_not_grow_with_the_counts():
 
 
 def check(rows, out, capacity):
-    coder = Encoder(public(NAME))
+    coder = Tokenizer.from_file(public(NAME))
     by_doc, places = {}, {}
     for r in out:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -63,7 +64,7 @@ def check(rows, out, capacity):
             at += length
         assert at <= capacity
     for i, text in rows:
-        ids = np.array([*coder.tokenizer.encode(text or "", add_special_tokens=False).ids, 0])
+        ids = np.array([*coder.encode(text or "", add_special_tokens=False).ids, 0])
         own = sorted(by_doc[i], key=lambda r: r["piece"])
         assert [r["piece"] for r in own] == list(range(-(-len(ids) // capacity)))
         assert all(r["length"] == capacity for r in own[1:])
@@ -78,7 +79,7 @@ def check(rows, out, capacity):
 def test_pieces_and_places(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["one", "two,", "Three"]) for _ in range(rng.randrange(200)))) for i in range(300)]
-    rows += [(300, None), (301, ""), (302, "word " * 5000), (None, "no id")] + [(i, "same text") for i in range(400, 700)]
+    rows += [(300, None), (301, ""), (302, "word " * 5000), (303, "hello <|endoftext|> world"), (None, "no id")] + [(i, "same text") for i in range(400, 700)]
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, length int").repartition(3)
     packed = packing.pack(docs, public(NAME), capacity=128)
     places = check(rows, packed.collect(), 128)

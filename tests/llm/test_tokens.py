@@ -4,46 +4,48 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from loreforge.llm import token_files
 from loreforge.llm.subwords import Encoder, crc, public
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 CODERS = {f: Encoder(public(f), memory=50) for f in FILES}
-TEXTS = ["", " ", "\n\n The cat's  toy.\n\nIt'll (not) break,  he said...\t", "a  b \n c\n\nD", "naïve Çé ñ, ü.", "日本語 text", "x y  z", "é e", "don't'they'rest 'tis", "<|endoftext|> <|startoftext|>", "a1b2 3,4  5", "—, — x", "İ ǅ", "\x1c a\x85"]
+PLAIN = {f: Tokenizer.from_file(public(f)) for f in FILES}
+TEXTS = ["", " ", "\n\n The cat's  toy.\n\nIt'll (not) break,  he said...\t", "a  b \n c\n\nD", "naïve Çé ñ, ü.", "日本語 text", "x y  z", "é e", "don't'they'rest 'tis", "<|endoftext|> <|startoftext|>", "hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b", "<|startoftext|>the <|", "a1b2 3,4  5", "—, — x", "İ ǅ", "\x1c a\x85"]
 
 
-def whole(coder, text):
-    return coder.tokenizer.encode(text, add_special_tokens=False).ids
+def whole(name, text):
+    """By the library alone."""
+    return PLAIN[name].encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", FILES)
 def test_pieces_give_the_ids_of_the_whole(name):
     coder = CODERS[name]
     for text, ids in zip(TEXTS, coder.encode(TEXTS), strict=True):
-        assert ids.tolist() == whole(coder, text), text
+        assert ids.tolist() == whole(name, text), text
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([" ", "  ", "\n", "\n\n", "\t", "'s", "'", "the", "The", "é", "Ñ", "1", "23", ",", ".", "...", "(", "x", "re", "ll", "—", "日"]), max_size=25))
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\n\n", "\t", "'s", "'", "the", "The", "é", "Ñ", "1", "23", ",", ".", "...", "(", "x", "re", "ll", "—", "日", "<", "<|", "|>", "endoftext", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>"]), max_size=25))
 def test_random_texts(parts):
     text = "".join(parts)
-    for coder in CODERS.values():
-        assert coder.encode([text])[0].tolist() == whole(coder, text)
+    for name, coder in CODERS.items():
+        assert coder.encode([text])[0].tolist() == whole(name, text)
 
 
 def test_round_trip_through_files(spark):
     rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice(["alpha", "beta,", "gamma.", "Delta"]) for _ in range(rng.randrange(300))), "x") for i in range(400)]
-    rows += [(400, None, "x"), (401, "", "x"), (402, "long " * 60_000, "x"), (None, "no id", "x"), (7, "again", "x")]
+    rows = [(i, " ".join(rng.choice(["alpha", "beta,", "gamma.", "Delta"]) for _ in range(rng.randrange(300))), "x") for i in range(399)]
+    rows += [(399, "one <|endoftext|> two", "x"), (400, None, "x"), (401, "", "x"), (402, "long " * 60_000, "x"), (None, "no id", "x"), (7, "again", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)
-    coder = CODERS[FILES[0]]
     manifest = token_files.write(docs, public(FILES[0]), end_id=1)
     got = token_files.read(manifest).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
     start, left = 0, {}
     for i, text, _ in rows:
-        left.setdefault(i, []).append(whole(coder, text or "") + [1])
+        left.setdefault(i, []).append(whole(FILES[0], text or "") + [1])
     for r in got:
         assert r["start"] == start
         start += r["n_tokens"]
