@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 #: One word, for Java's and DuckDB's patterns.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a narrow table up to which it may be broadcast (some tens of MB); larger ones are shuffled.
+SMALL = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where it is unset, a folder of our own if all runs on this machine (tests)."""
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     at = spark.conf.get("spark.checkpoint.dir", None) or (kept.get() if kept.isDefined() else None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='loreforge-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -37,6 +41,22 @@ def freeze(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(kept: DataFrame, rows: int | None = None) -> DataFrame:
+    """A frozen narrow table for a join: with the hint to broadcast it if it has ``rows`` rows (SMALL) at most, else as it is, to be shuffled."""
+    return F.broadcast(kept) if kept.count() <= (SMALL if rows is None else rows) else kept
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those that no column of df has (case aside)."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_ascii(text):
     """Lower-cases A-Z alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
