@@ -41,14 +41,14 @@ def running(df: DataFrame, order: list, **sums: str) -> DataFrame:
     """df with running sums ahead of each row in the given order, and the sums of all: <name> and <name>_all.
 
     Rows are dealt into ranges, which are summed up alone; only the ranges' totals meet in one task."""
-    rows = freeze(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "ranges")
-    rows = rows.withColumn("range", F.shiftright("place", 33))
-    inside = Window.partitionBy("range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = freeze(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row_of", F.monotonically_increasing_id()), "ranges")
+    rows = rows.withColumn("range", F.shiftright("row_of", 33))
+    inside = Window.partitionBy("range").orderBy("row_of").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("range").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     ahead, all_ = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = totals.select(F.col("range").alias("of"), *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"{n}_ahead") for n in sums], *[F.sum(n).over(all_).alias(f"{n}_all") for n in sums])
     out = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()]).join(totals, F.col("range") == F.col("of"))
-    return out.withColumns({n: F.col(n) + F.col(f"{n}_ahead") for n in sums}).drop("range", "of", "place", *[f"{n}_ahead" for n in sums])
+    return out.withColumns({n: F.col(n) + F.col(f"{n}_ahead") for n in sums}).drop("range", "of", "row_of", *[f"{n}_ahead" for n in sums])
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:

@@ -12,7 +12,7 @@ def op1_token_files(spark, sf_dir):
 
 
 def op2_lm_scoring(spark, sf_dir):
-    return lm_scoring.score(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), end_id=50256)
+    return lm_scoring.score(table(spark, sf_dir, "documents"), public("byte_bpe_50k.tiktoken"), end_id=50256)
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -66,7 +66,7 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY content ORDER BY n DESC, doc_id)
 """
 
-#: The targets come from a descent over sources in order of limit / weight; the taken words from the rank order.
+#: The targets come from a descent over sources in order of limit / weight, the expected copies from one over sizes; the taken words from the rank order.
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS size FROM documents),
@@ -76,13 +76,17 @@ l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(top) OV
     / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
   FROM w WINDOW o AS (ORDER BY top / weight, encode(source) NULLS LAST)),
 t AS (SELECT source, source_size, least(top::DOUBLE, max(level) OVER () * weight) AS target FROM l),
-g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
-r AS (SELECT d.doc_id, d.size, g.*, target - whole * source_size AS rest,
-    (('0x' || substr(md5(doc_id::VARCHAR || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-k AS (SELECT *, CASE WHEN rest > 0 THEN (u / (1 - u)) / ((rest / source_size) / (1 - rest / source_size)) END AS odds FROM r),
-c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 AS middle FROM k)
-SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
+z AS (SELECT source, size, floor(sqrt(greatest(size, 1)::DOUBLE) * 16)::BIGINT AS weight, count(*) * size AS words FROM d GROUP BY source, size),
+v AS (SELECT z.*, source_size, target, (sum(words * weight) OVER (PARTITION BY z.source))::BIGINT - coalesce(sum(words * weight) OVER o, 0)::BIGINT AS remains, coalesce(sum(words) OVER o, 0)::BIGINT AS heavier
+  FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source WINDOW o AS (PARTITION BY z.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT *, max(CASE WHEN remains > 0 THEN (target - 2 * heavier::DOUBLE) / remains::DOUBLE END) OVER (PARTITION BY source) AS top FROM v),
+x AS (SELECT *, CASE WHEN source_size <= 0 THEN 0::DOUBLE WHEN target >= 2 * source_size THEN 2::DOUBLE ELSE least(2::DOUBLE, top * weight) END AS copies FROM e),
+g AS (SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS p, target - (sum(floor(copies)::BIGINT * words) OVER (PARTITION BY source))::DOUBLE AS rest FROM x),
+r AS (SELECT d.doc_id, d.size, source_size, target, whole, p, rest, g.source, (('0x' || substr(md5(doc_id::VARCHAR || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.size = g.size),
+k AS (SELECT *, CASE WHEN p > 0 AND rest > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM r),
+c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, odds IS NULL ORDER BY odds, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 AS middle FROM k)
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN odds IS NOT NULL AND middle <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM c
 """
 
 QUERIES = {"op1_token_files": op1_token_files, "op5_packing": op5_packing, "op3_exact_dedup": op3_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_mixing": op7_mixing,

@@ -48,6 +48,53 @@ def test_near_targets_and_reruns_agree(spark):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 15
 
 
+def test_inclusion_follows_the_probabilities(spark):
+    """Over many seeds, a document is taken as often as its size says, and sizes differ in that within a source."""
+    frame, n = docs(spark).where("doc_id < 600"), 12
+    copies, size = {}, {}
+    for seed in range(n):
+        for r in mixing.mix(frame, seed=f"s{seed}").collect():
+            copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + r["copies"]
+            size[r["doc_id"]] = r["size"]
+            assert 0 <= r["p"] < 1 and 0 <= r["copies"] <= 2
+    hot = [i for i in copies if i % 3 == 0]
+    small, large = ([copies[i] / n for i in hot if low <= size[i] <= high] for low, high in ((1, 4), (22, 28)))
+    assert sum(large) / len(large) > 1.5 * sum(small) / len(small)
+    first = {r["doc_id"]: r for r in mixing.mix(frame, seed="s0").collect()}
+    by_size = {}
+    for i in hot:
+        by_size.setdefault(size[i], []).append(copies[i] / n)
+    for s, rates in by_size.items():  # the mean over documents of one size and over seeds is near whole copies and p
+        r = next(first[i] for i in hot if size[i] == s)
+        whole = {k for k in range(3) if all(k <= c <= k + 1 for c in rates)}
+        want = [k + r["p"] for k in whole]
+        assert s == 0 or not want or min(abs(sum(rates) / len(rates) - w) for w in want) < 0.2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_levels_of_sizes(spark, seed):
+    """Expected copies rise with the root of the size, stop at two, and add up to the target."""
+    rng = random.Random(seed)
+    rows = [("a", s) for s in (rng.choice([1, 5, 9, 40, 3000]) for _ in range(200))] + [("b", 0), ("b", 7), ("c", 0)]
+    goal = rng.choice([0.1, 0.9, 1.7, 2.0])
+    sizes = spark.createDataFrame(rows, "source string, size long")
+    total = {s: sum(n for t, n in rows if t == s) for s in "abc"}
+    goals = spark.createDataFrame([(s, n, goal * n) for s, n in total.items()], "source string, source_size long, target double")
+    out = {(r["source"], r["size"]): r["whole"] + r["p"] for r in mixing.expected(sizes, goals, 2).collect()}
+    for s in "ab":
+        assert sum(out[s, n] * n for t, n in rows if t == s) == pytest.approx(goal * total[s])
+    own = sorted((n, c) for (s, n), c in out.items() if s == "a")
+    for (n, c), (m, d) in zip(own, own[1:], strict=False):
+        assert d == 2 or d / c == pytest.approx(int(16 * m**0.5) / int(16 * n**0.5))
+    assert out["c", 0] == 0
+
+
+def test_clashing_names_and_reserved_columns(spark):
+    frame = docs(spark).where("doc_id < 200").select("*", *[F.lit(1).alias(c) for c in ("__id", "__copies", "__rows", "__each", "__copy", "weight", "p", "target")])
+    out = mixing.mixed(frame)
+    assert out.columns == frame.columns and out.count() > 0
+
+
 def test_mixed_rows(spark):
     frame = docs(spark)
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(frame).collect()}
