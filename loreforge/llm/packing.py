@@ -6,8 +6,9 @@ pieces fill the expanded gap more tightly (Friesen and Langston 1991).
 
 What the algorithm does depends on the pieces' lengths alone, so the plan is made from the number of pieces of
 each length: at most ``capacity`` numbers, however large the corpus. A bin's pattern is repeated as often as
-the lengths it uses last, which gives the bins of the one-by-one algorithm. Spark then numbers the pieces of
-each length, in buckets so that no length lands in one task, and each takes the slot of its number.
+the lengths it uses last, which gives the bins of the one-by-one algorithm. Each task that cuts texts numbers its pieces
+of each length; the numbers of pieces of each length that earlier tasks have are summed up and added, and each piece
+takes the slot of its number. So the ids are written once and needn't move again.
 
 Null texts count as empty and hold the end id alone; an empty table gives an empty result; rows that repeat
 an id are packed each; other columns are not read.
@@ -18,12 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import freeze
+from .common import freeze, small
 from .subwords import crc, encoder
 
-#: Pieces in a bucket, about, and buckets at most.
-BUCKET, BUCKETS = 1000, 100_000
-
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """Bins for counts[length] pieces of each length: (lengths in a bin, how many such bins)."""
@@ -72,12 +70,12 @@ def _two(left: np.ndarray, gap: int) -> list[int]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """<id_col>, piece, start, length, ids_crc32, tag and, if asked for, ids (little-endian, as wide as the tokenizer needs)."""
+    """<id_col>, piece, start, length, ids_crc32, part (the task), nth (of the task's pieces of that length) and, if asked for, ids (little-endian, as wide as the tokenizer needs)."""
 
     def cut(batches):
         from pyspark import TaskContext
 
-        coder, place = encoder(tokenizer), TaskContext.get().partitionId() << 33
+        coder, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], coder.dtype)
         for batch in batches:
             rows, ids_of = [], []
@@ -86,15 +84,15 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 204
                 first = len(ids) % capacity or capacity
                 bounds = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    rows.append((doc_id, k, a, b - a, crc(ids[a:b]), place))
-                    place += 1
+                    rows.append((doc_id, k, a, b - a, crc(ids[a:b]), part, seen[b - a]))
+                    seen[b - a] += 1
                     if with_ids:
                         ids_of.append(ids[a:b].tobytes())
-            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids_of, pa.binary())] * with_ids, names=[id_col, "piece", "start", "length", "ids_crc32", "tag"] + ["ids"] * with_ids)
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids_of, pa.binary())] * with_ids, names=[id_col, "piece", "start", "length", "ids_crc32", "part", "nth"] + ["ids"] * with_ids)
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, f"{id_col} long, piece int, start long, length long, ids_crc32 long, tag long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(cut, f"{id_col} long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -113,12 +111,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
         own = np.array([s[1:] for s in slots if s[0] == length], np.int64)
         by_length[length] = np.column_stack([np.cumsum(own[:, 0]) - own[:, 0], own[:, 1:]])  # first number, first sequence, offset
 
-    buckets = min(BUCKETS, 1 + sum(counts.values()) // BUCKET)
-    dealt = found.withColumn("bucket", F.pmod(F.xxhash64("tag"), F.lit(buckets)))
-    ahead = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("length", "bucket").count().withColumn("ahead", F.coalesce(F.sum("count").over(ahead), F.lit(0)))
-    number = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("tag")) - 1
-    numbered = dealt.join(sizes.drop("count"), ["length", "bucket"]).withColumn("number", F.col("ahead") + number).drop("ahead", "bucket", "tag")
+    sizes = found.groupBy("length", "part").count()
+    ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = freeze(sizes.select("length", "part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead")), "ahead")
+    numbered = found.join(small(sizes), ["length", "part"]).withColumn("number", F.col("ahead") + F.col("nth")).drop("ahead", "part", "nth")
 
     def place(batches):
         for batch in batches:
