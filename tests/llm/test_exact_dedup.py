@@ -44,3 +44,18 @@ def test_empty_and_repeated_rows(spark):
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([rows[2], rows[3], rows[4]], schema).collect()))
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a", 1), (2, "a ", 2), (3, "b", 3)]
+    for more in ([], [(3, "b ", 4)]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string, v int").select("*", *[F.lit("x").alias(c) for c in ("__id", "__digest", "__chars", "kept", "tag", "id", "digest", "again", "keep_id")])
+        out = exact_dedup.drop_copies(docs)
+        assert out.columns == docs.columns and sorted(r["v"] for r in out.collect()) in ([1, 3], [2, 3], [2, 4])
+
+
+def test_shuffled_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr("loreforge.llm.common.SMALL", 0)
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    assert found(exact_dedup.copies(docs)) == expected(ROWS)
+    assert sorted(map(str, exact_dedup.drop_copies(docs).select("doc_id").collect())) == sorted(f"Row(doc_id={i})" for i, _, _, k in expected(ROWS) if k)
