@@ -100,18 +100,6 @@ class Encoder:
                 lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
         return flat, lengths
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words, each encoded alone, in a row, and how many each has."""
-        plain = np.fromiter((_WORD.fullmatch(w) is not None for w in words), bool, len(words))
-        out, lengths = np.empty(len(words), object), np.empty(len(words), np.int64)
-        ids, each = self._lines([w for w, own in zip(words, plain.tolist(), strict=True) if own])
-        lengths[plain] = np.concatenate([np.zeros(0, np.int64), *each])
-        out[plain] = np.fromiter(np.split(np.concatenate([np.zeros(0, self.dtype), *ids]), np.cumsum(lengths[plain])[:-1]) if plain.any() else [], object, int(plain.sum()))
-        rest = self._whole([w for w, own in zip(words, plain.tolist(), strict=True) if not own])
-        lengths[~plain] = np.fromiter(map(len, rest), np.int64, len(rest))
-        out[~plain] = np.fromiter(rest, object, len(rest))
-        return np.concatenate([np.zeros(0, self.dtype), *out]), lengths
-
     def _whole(self, texts):
         out = []
         for i in range(0, len(texts), 4096):  # few encodings in memory at a time
@@ -158,6 +146,20 @@ def encoder(path: str, special: bool = True) -> Encoder:
     return _encoders[path, special]
 
 
+def byte_pairs(path: str):
+    """A byte-level encoder of a file of ranks, one for each Python worker. Strings of special tokens are ordinary text."""
+    if path not in _encoders:
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[path]
+
+
 def crc(ids: np.ndarray) -> int:
     """Of the ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
