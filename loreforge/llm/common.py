@@ -57,6 +57,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut into small ones, so that what a task makes of one stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def lower_ascii(text):
     """Lower-cases A-Z alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

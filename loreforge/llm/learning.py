@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hashed features, and tokens that a worker remembers at most.
-SIZE, MEMORY = 1 << 18, 1_000_000
+SIZE, MEMORY = 1 << 18, 300_000
 
 
 class Hashed(dict):
@@ -38,11 +38,12 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
     Null labels are left out; of labels that repeat an id the largest counts. The choice is made on ids alone, so that
     texts are read for the chosen rows only.
     """
-    of = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
-    there = docs.select(F.col(id_col).alias("__id")).distinct()
-    chosen = of.where(~held_out("__id", folds, fold)).join(there, "__id", "left_semi")
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    return docs.join(chosen, docs[id_col] == F.col("__id")).select(F.coalesce(text_col, F.lit("")).alias("text"), F.col("__label").cast("double").alias("label"))
+    of = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+    there = docs.select(F.col(id_col).alias("id")).distinct()
+    chosen = of.where(~held_out("id", folds, fold)).join(there, "id", "left_semi")
+    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    return texts.join(chosen, "id").select("text", F.col("label").cast("double").alias("label"))
 
 
 class Adam:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import freeze, small
+from .common import freeze, slices, small
 from .subwords import crc, encoder
 
 
@@ -77,7 +77,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 204
 
         coder, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], coder.dtype)
-        for batch in batches:
+        for batch in slices(batches):
             rows, ids_of = [], []
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist()), strict=True):
                 ids = np.concatenate([ids, end])

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .learning import MEMORY, SIZE, Adam, Hashed, held_out, sample, sigmoid
 
 #: Labelled documents that the model is fitted on at most.
@@ -123,7 +124,7 @@ def rate(docs: DataFrame, model: Model, least: int = 1, threshold: float = 0.5,
 
     def each(batches):
         memo = model.memo()
-        for batch in batches:
+        for batch in slices(batches):
             above = model.above(model.latent(batch.column(1).to_pylist(), memo))
             tail = np.ones(len(above)) if least <= 0 else above[:, least - 1] if least <= above.shape[1] else np.zeros(len(above))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above.sum(1)), pa.array(tail)], names=[id_col, "expected_grade", "tail_probability"])

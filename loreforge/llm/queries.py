@@ -45,7 +45,7 @@ def op8_quality_classifier(spark, sf_dir):
 
 def op9_toxicity(spark, sf_dir):
     found = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "held_out", "score", "predicted", "n_sentences", "worst_score")
+    return found.select("doc_id", "held_out", "score", "predicted", "n_sentences", "worst", "worst_score")  # worst: the sentence that offends most
 
 
 def pipeline(spark, sf_dir):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeze
+from .common import freeze, fresh, small
 from .components import components, spanning
 
 QUARTERS, BITS = 4, 16
@@ -190,8 +190,9 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """The rows of docs that stay: of each component the one with the smallest id, or the first where ids repeat or are null."""
     own, unclear = id_col, not docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty()
     if unclear:
-        own = "__row"
+        own = fresh(docs, "__row")[0]
         docs = freeze(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
     kept = groups(fingerprints(docs, own, text_col, width), own, bits).where(F.col(own) == F.col("component_id"))
-    kept = freeze(kept.select(F.col(own).alias("__kept")), "kept")
-    return docs.join(kept, docs[own] == kept["__kept"], "left_semi").select(*[c for c in docs.columns if c != "__row"])
+    name = fresh(docs, "__kept")[0]
+    kept = freeze(kept.select(F.col(own).alias(name)), "kept")
+    return docs.join(small(kept), docs[own] == F.col(name), "left_semi").select(*[c for c in docs.columns if c != own or not unclear])

@@ -22,7 +22,7 @@ _PLAIN = re.compile(f"[{_LETTER}{_MARK}{_BLANK}]*")
 _WORD = re.compile(f" ?[{_LETTER}]+")
 _PIECE = re.compile(f"[{_BLANK}]*(?:[{_MARK}]*[{_LETTER}]+|[{_MARK}]+)|[{_BLANK}]+")
 #: Characters encoded at once.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 
 class Encoder:

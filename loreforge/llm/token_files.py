@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeze, new_path
+from .common import freeze, new_path, slices
 from .subwords import crc, encoder
 
 #: Ids in a sequence, and sequences in a batch.
@@ -117,7 +117,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_i
 
         coder, out = encoder(tokenizer), None
         end = np.array([end_id], coder.dtype)
-        for batch in batches:
+        for batch in slices(batches):
             out = out or ShardWriter(folder, coder.dtype)
             texts = batch.column(1).to_pylist()
             out.add(batch.column(0), [np.concatenate([x, end]) for x in coder.encode(texts)])

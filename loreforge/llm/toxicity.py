@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .learning import MEMORY, SIZE, Adam, Hashed, held_out, sample, sigmoid, sums
 
 #: Labelled documents that the model is fitted on at most.
@@ -125,7 +126,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def each(batches):
         own = Model(weights, bias)
-        for batch in batches:
+        for batch in slices(batches):
             parts, p = own.sentences(batch.column(1).to_pylist())
             counts = np.fromiter(map(len, parts), np.int64, len(parts))
             starts = np.cumsum(counts) - counts
@@ -143,7 +144,7 @@ def locate(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str =
 
     def each(batches):
         own = Model(weights, bias)
-        for batch in batches:
+        for batch in slices(batches):
             parts, p = own.sentences(batch.column(1).to_pylist())
             flat, base = [(i, k, s.strip()) for i, x in enumerate(parts) for k, s in enumerate(x)], np.flatnonzero(p >= threshold)
             hits = [flat[k] for k in base.tolist()]
@@ -167,7 +168,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_co
 
     def each(batches):
         own = Model(weights, bias)
-        for batch in batches:
+        for batch in slices(batches):
             parts, p = own.sentences([t or "" for t in batch.column(at).to_pylist()])
             keep = noisy_or(p, np.fromiter(map(len, parts), np.int64, len(parts))) < threshold
             yield batch.filter(pa.array(keep))

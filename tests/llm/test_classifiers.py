@@ -82,3 +82,62 @@ def test_binary_quality(spark):
     out = [r for r in quality.rate(docs, quality.train(docs, marks)).collect() if r["held_out"]]
     several = {i for i, t, *_ in rows if "." in t or "!" in t}
     assert np.mean([r["kept"] == bool(labels[r["doc_id"]][1]) for r in out if r["doc_id"] in several]) > 0.95
+
+
+def brute_grades(model, text):
+    """The latent value and P(grade >= k) by hand, token by token."""
+    tokens = quality._TOKEN.findall(text)
+    z = 0.0
+    for t in tokens:
+        for f in (t.lower(), "~" + quality.shape(t)):
+            z += quality.SCALE * float(model.weights[zlib.crc32(f.encode()) % len(model.weights)]) / len(tokens)
+    return [1 / (1 + np.exp(c - z)) for c in model.cuts]
+
+
+def test_grades_by_brute_force(spark):
+    rng = np.random.default_rng(1)
+    grades = rng.integers(0, 3, 300)
+    rows = [(i, " ".join(rng.choice(["Good", "fine1"] * (g + 1) + ["bad,"] * (3 - g) + ["x", "..."], 40)), "", 0) for i, g in enumerate(grades.tolist())]
+    docs, marks = frames(spark, rows, [(i, g, 0) for i, g in enumerate(grades.tolist())])
+    model = quality.train(docs, marks)
+    for least in (1, 2):
+        for r in quality.rate(docs, model, least=least).collect():
+            above = brute_grades(model, rows[r["doc_id"]][1])
+            assert abs(r["expected_grade"] - sum(above)) < 1e-6 and abs(r["tail_probability"] - above[least - 1]) < 1e-6
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["kept"] == (r["tail_probability"] >= 0.5)
+
+
+def test_the_fit_of_grades_is_the_likelihood_s_maximum(monkeypatch):
+    """Small changes of any weight or threshold lower the penalised likelihood that fit() maximises."""
+    rng = np.random.default_rng(2)
+    grades = rng.integers(0, 3, 200)
+    texts = [" ".join(rng.choice(["good"] * (g + 2) + ["bad"] * (4 - g) + ["x"], 12)) for g in grades.tolist()]
+    model = quality.fit(texts, grades, steps=3000, rate=0.02, decay=1e-2)
+
+    def loss(m):
+        total = 0.0
+        for text, g in zip(texts, grades.tolist(), strict=True):
+            edges = [1.0, *brute_grades(m, text), 0.0]
+            total -= np.log(edges[g] - edges[g + 1])
+        return total / len(texts) + 1e-2 / 2 * float((m.weights.astype(float) ** 2).sum())
+
+    best = loss(model)
+    places = np.flatnonzero(model.weights)
+    for step in (0.03, -0.03):
+        for k in places[:6]:
+            w = model.weights.astype(float).copy()
+            w[k] += step
+            assert loss(quality.Model(w, model.cuts)) >= best - 1e-6
+        for k in range(2):
+            cuts = model.cuts.copy()
+            cuts[k] += step
+            assert loss(quality.Model(model.weights, cuts)) >= best - 1e-6
+
+
+def test_clashing_names(spark):
+    rows, labels = corpus(120)
+    docs, marks = frames(spark, rows, labels)
+    docs = docs.selectExpr("doc_id", "text", "1 AS __id", "2 AS __label", "3 AS id", "4 AS label", "5 AS score", "6 AS worst")
+    out = toxicity.drop_toxic(docs, marks)
+    assert out.columns == docs.columns and 0 < out.count() <= 120
+    assert quality.rate(docs, quality.train(docs, marks)).count() == 120
