@@ -5,7 +5,14 @@ from pyspark.sql import functions as F
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
-PATTERNS = {"email": EMAIL, "phone": PHONE}
+#: A word that names a secret, then what is assigned to it.
+SECRET = r"(?i)(?:api[_-]?key|access[_-]?key|secret|token|password|passwd)[\x22\x27]?[ \t]*[:=][ \t]*[\x22\x27]?[A-Za-z0-9_./+=-]{8,}"
+KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
+CARD = r"[0-9]{4}(?:[ -][0-9]{4}){3}"
+ACCOUNT = r"[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){3,7}"
+IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+#: In the order in which they are masked. The same in Java's and DuckDB's dialect.
+PATTERNS = {"key": KEY, "secret": SECRET, "email": EMAIL, "account": ACCOUNT, "card": CARD, "phone": PHONE, "ip": IPV4}
 
 
 def tokens(text) -> Column:

@@ -12,12 +12,36 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
     return groups.where("n_docs > 1")
 
 
+def _lines(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.array_join(F.coalesce(tokens("text"), F.array().cast("array<string>")), " ").alias("line"))
+
+
+def classes(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id, class_size: a row per document. Documents with the same tokens are one class, named by its smallest id; those without tokens, too."""
+    lines = _lines(documents).withColumn("digest", F.sha2("line", 256))
+    sizes = lines.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return lines.select("doc_id", "digest").join(sizes, "digest").select("doc_id", "class_id", "class_size")
+
+
 def shingle_sets(documents: DataFrame, n: int = 5) -> DataFrame:
-    """class_id, members, grams: one row per class of documents with the same tokens; the smallest id names it."""
-    words = documents.select("doc_id", F.array_join(tokens("text"), " ").alias("line")).where("line <> ''")
-    classes = words.groupBy("line").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
-    sets = with_array(classes, "w", F.split("line", " ")).select("class_id", "members", F.array_distinct(shingles("w", n)).alias("grams"))
-    return sets.where(F.size("grams") > 0)
+    """class_id, members, grams: one row per class of documents with the same tokens; the smallest id names it. A shorter text is one shingle, an empty one none."""
+    found = _lines(documents).where("line <> ''").groupBy("line").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
+    grams = F.when(F.size("w") < n, F.array("line")).otherwise(F.array_distinct(shingles("w", n)))
+    return with_array(found, "w", F.split("line", " ")).select("class_id", "members", grams.alias("grams"))
+
+
+def near_duplicate_classes(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id, class_size, n_links: a row per document, with the number of other classes that are near its own."""
+    pairs = keep(near_duplicates(documents), "pairs")
+    links = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return classes(documents).join(links, "class_id", "left").select("doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def document_clusters(documents: DataFrame) -> DataFrame:
+    """node, cluster: every document that has a copy or is near another, and the smallest id that it reaches."""
+    labels = duplicate_clusters(near_duplicates(documents)).withColumnRenamed("node", "class_id")
+    found = classes(documents).join(labels, "class_id", "left").where("class_size > 1 or cluster is not null")
+    return found.select(F.col("doc_id").alias("node"), F.coalesce("cluster", "class_id").alias("cluster"))
 
 
 def near_duplicates(documents: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
@@ -49,8 +73,8 @@ def near_duplicates_lsh(documents: DataFrame, tables: int = 5, t: float = 0.8, n
     sets = shingle_sets(documents, n).select("class_id", "grams")
     vectors = keep(HashingTF(inputCol="grams", outputCol="v", numFeatures=1 << 20, binary=True).transform(sets).select("class_id", "v"), "vectors")
     model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=tables, seed=7).fit(vectors)
-    pairs = model.approxSimilarityJoin(vectors, vectors, 1 - t, "distance")
-    return pairs.select(F.col("datasetA.class_id").alias("a"), F.col("datasetB.class_id").alias("b"), F.round(1 - F.col("distance"), 6).alias("score")).where("a < b")
+    pairs = model.approxSimilarityJoin(vectors, vectors, 1 - t + 1e-9, "distance")  # its bound excludes; hashed shingles may raise a score, never lower it
+    return pairs.select(F.col("datasetA.class_id").alias("a"), F.col("datasetB.class_id").alias("b"), F.round(1 - F.col("distance"), 6).alias("score")).where(f"a < b and score >= {t}")
 
 
 def duplicate_clusters(pairs: DataFrame) -> DataFrame:
@@ -71,16 +95,28 @@ def contains_passage(documents: DataFrame, benchmark: DataFrame, n: int = 5) ->
     """item_id, doc_id: passages that documents hold verbatim.
 
     A passage's second to last but one word stand between spaces in any text that holds it, so the first n of
-    them are joined with documents' n-grams, then the text is searched. Passages too short for that are searched in all texts.
+    them (all, if they are fewer) are joined with documents' runs of as many words, then the text is searched. Passages of
+    one or two words are joined with all parts of texts that are as long. Null and empty passages are in no document.
     """
-    grams = lambda w: F.transform(shingles(w, n), lambda g: F.xxhash64(g))
-    items = with_array(benchmark.select("item_id", F.col("text").alias("passage")), "w", F.split("passage", " "))
-    long = items.where(F.size("w") >= n + 2).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, n), " ")).alias("gram"))
-    docs = with_array(documents.select("doc_id", "text"), "w", F.split("text", " "))
-    keys = docs.select("doc_id", F.explode(F.array_distinct(grams("w"))).alias("gram"))
-    hits = keys.join(long, "gram").select("item_id", "doc_id", "passage")
-    found = hits.join(documents.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
-    short = items.where(F.size("w") < n + 2)
-    if not short.isEmpty():
-        found = found.union(documents.join(short.select("item_id", "passage"), F.contains("text", "passage")).select("item_id", "doc_id"))
-    return found.distinct()
+    items = with_array(benchmark.where("text <> ''").select("item_id", F.col("text").alias("passage")), "w", F.split("passage", " "))
+    items = items.withColumn("k", F.greatest(F.least(F.size("w") - 2, F.lit(n)), F.lit(0))).withColumn("n_chars", F.length("passage"))
+    docs, hits = documents.select("doc_id", "text"), []
+    for r in items.groupBy("k", F.when(F.col("k") == 0, F.col("n_chars")).alias("n_chars")).count().collect():  # n and the lengths of short passages at most
+        if r["k"]:
+            own = items.where(F.col("k") == r["k"]).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, r["k"]), " ")).alias("gram"))
+            keys = F.transform(shingles("w", r["k"]), lambda g: F.xxhash64(g))
+            keys = with_array(docs, "w", F.split("text", " ")).select("doc_id", F.explode(F.array_distinct(keys)).alias("gram"))
+            hits.append(keys.join(own, "gram").select("item_id", "doc_id", "passage"))
+        else:
+            m = r["n_chars"]
+            own = items.where((F.col("k") == 0) & (F.col("n_chars") == m)).select("item_id", "passage")
+            at = F.sequence(F.lit(1), F.greatest(F.length("text") - (m - 1), F.lit(1)))
+            parts = F.array_distinct(F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(m))))
+            hits.append(docs.select("doc_id", F.explode(parts).alias("passage")).join(own, "passage").select("item_id", "doc_id", "passage"))
+    if not hits:
+        return docs.join(items, F.lit(False)).select("item_id", "doc_id")
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.union(more)
+    found = found.distinct()
+    return found.join(docs, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()

@@ -36,15 +36,17 @@ def corpus_stats(documents: DataFrame) -> DataFrame:
 
 
 def write_index(postings: DataFrame, path: str | None = None) -> str:
-    """Postings in folders by the first hex digit of the term's digest, each sorted by term, so that a lookup reads one."""
+    """Postings in folders by the first hex digit of the term's digest, each sorted by term, so that a lookup reads one.
+
+    They are dealt into ranges of bucket, term and doc_id, so that a very frequent term is split over tasks, too."""
     path = path or shared(postings.sparkSession, "index")
     bucketed = postings.withColumn("bucket", F.substring(F.md5("term"), 1, 1))
-    bucketed.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(16))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+    bucketed.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(path)
     return path
 
 
-def read_index(spark, path: str, terms: list[str] | None = None) -> DataFrame:
-    found = spark.read.parquet(path)
+def read_index(spark, path: str, terms: list[str] | None = None, schema: str = "term string, doc_id bigint, tf bigint, bucket string") -> DataFrame:
+    found = spark.read.schema(schema).parquet(path)  # an index of nothing has no files
     if terms is not None:
         import hashlib
 

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, with_array
+from ..functions.text import tokens
+from ..sources.tables import keep
 
 
 def label_rates(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -15,9 +16,9 @@ def unlabelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select("doc_id").join(labels, "doc_id", "left_anti")
 
 
-def cooccurrence(documents: DataFrame, min_count: int = 20, span: int = 2) -> DataFrame:
+def cooccurrence(documents: DataFrame, min_count: int = 20, span: int = 5) -> DataFrame:
     """a, b, n, pmi: terms found within span tokens of each other, a < b. The work grows with the tokens, not with their square."""
-    rows = with_array(documents.select("doc_id", "text"), "w", tokens("text")).select("w")
+    rows = keep(documents.select(tokens("text").alias("w")), "tokens")
     next_ = lambda i, s: F.get(F.col("w"), i + s)
     both = lambda s: lambda x, i: F.struct(F.least(x, next_(i, s)).alias("a"), F.greatest(x, next_(i, s)).alias("b"), next_(i, s).alias("y"))
     near = [F.transform("w", both(s)) for s in range(1, span + 1)]
@@ -42,13 +43,16 @@ def knn_label(neighbours: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def quality_model(documents: DataFrame, labels: DataFrame, features: int = 1 << 16) -> DataFrame:
-    """doc_id, probability of good quality. Fitted on the labelled documents, by Spark's own distributed regression."""
+    """doc_id, probability of good quality, from the shares that tokens and runs of marks have of a text.
+
+    Fitted on the labelled documents, by Spark's own distributed regression."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF
+    from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    rows = documents.select("doc_id", F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("w"))
-    steps = [HashingTF(inputCol="w", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="x"), LogisticRegression(featuresCol="x", labelCol="quality", maxIter=20, regParam=0.01)]
+    marks = F.transform(F.regexp_extract_all("text", F.lit(r"[^\p{L}\p{N} ]+"), F.lit(0)), lambda m: F.substring(m, 1, 4))
+    rows = documents.select("doc_id", F.coalesce(F.concat(tokens("text"), marks), F.array().cast("array<string>")).alias("w"))
+    steps = [HashingTF(inputCol="w", outputCol="tf", numFeatures=features), Normalizer(inputCol="tf", outputCol="x", p=1.0), LogisticRegression(featuresCol="x", labelCol="quality", maxIter=60, regParam=1e-5, standardization=False)]
     model = Pipeline(stages=steps).fit(rows.join(labels.where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id"))
     return model.transform(rows).select("doc_id", vector_to_array("probability")[1].alias("probability"))

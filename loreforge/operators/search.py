@@ -36,10 +36,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, score, rank. Only the queries' terms are counted, and each document's length travels with its postings."""
     terms = query_terms(queries)
-    rows = documents.select("doc_id", tokens("text").alias("w"))
+    rows = keep(documents.select("doc_id", tokens("text").alias("w")), "tokens")
     n_mean = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean_length"))
     tf = rows.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = tf.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    tf = keep(tf.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")), "tf")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = df.join(F.broadcast(n_mean)).select("term", "mean_length", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_length")))
@@ -50,7 +50,7 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2,
 def tfidf(documents: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, doc_id, score, rank by the sum of (1 + ln tf) * ln(n / df)."""
     terms = query_terms(queries)
-    found = counts(documents).join(terms.select("term").distinct(), "term", "left_semi")
+    found = keep(counts(documents).join(terms.select("term").distinct(), "term", "left_semi"), "counts")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(documents.agg(F.count(F.lit(1)).alias("n"))))
     parts = found.join(df, "term").select("term", "doc_id", ((1 + F.log("tf")) * F.log(F.col("n") / F.col("df"))).alias("part"))
     return ranked(parts.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), "query_id", "doc_id", k)
@@ -58,7 +58,7 @@ def tfidf(documents: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 def top_terms(documents: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, term, weight, rank."""
-    found = counts(documents)
+    found = keep(counts(documents), "counts")
     df = term_stats(found).select("term", "df").join(F.broadcast(documents.agg(F.count(F.lit(1)).alias("n"))))
     weighed = found.join(df, "term").select("doc_id", "term", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6).alias("weight"))
     return ranked(weighed, "doc_id", "term", k, "weight")
@@ -66,7 +66,7 @@ def top_terms(documents: DataFrame, k: int = 5) -> DataFrame:
 
 def phrase_search(documents: DataFrame, phrase: list[str]) -> DataFrame:
     """doc_id, n_matches, first_pos of adjacent tokens, by joins of the phrase's postings alone."""
-    each = documents.select("doc_id", F.posexplode(tokens("text")).alias("pos", "term")).where(F.col("term").isin(phrase))
+    each = keep(documents.select("doc_id", F.posexplode(tokens("text")).alias("pos", "term")).where(F.col("term").isin(phrase)), "phrase")
     out = each.where(F.col("term") == phrase[0]).select("doc_id", "pos")
     for i, t in enumerate(phrase[1:], 1):
         out = out.join(each.where(F.col("term") == t).select("doc_id", (F.col("pos") - i).alias("pos")), ["doc_id", "pos"], "left_semi")

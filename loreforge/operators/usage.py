@@ -30,6 +30,7 @@ def usage_sliding(events: DataFrame, w: str = "2 hours", step: str = "1 hour") -
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """user_id, start, last, n. An event that comes just gap after the last one belongs to its session."""
     rows = events.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
     return rows.select("user_id", F.col("s.start").alias("start"), "last", "n")
 

@@ -1,5 +1,9 @@
 """DuckDB SQL that gives the rows of the registered queries."""
 
+from functools import reduce
+
+from ..functions.text import PATTERNS
+
 _TOK = r"tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS w FROM documents)"
 _TF = _TOK + ", tf AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"
 
@@ -24,8 +28,9 @@ def _bm25(queries, k):
 
 _TFIDF = "ti0 AS (SELECT query_id, doc_id, round(sum((1 + ln(tf)) * ln((SELECT count(*) FROM documents)::DOUBLE / df)), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) GROUP BY ALL), ti AS (" + _top("ti0", "query_id", "doc_id", 10) + ")"
 _TERMS = _TF + ", w AS (SELECT doc_id, term, round(tf * ln((SELECT count(*) FROM documents)::DOUBLE / df), 6) AS weight FROM tf JOIN df USING (term)), tt AS (" + _top("w", "doc_id", "term", 5, "weight") + ")"
-_NEAR = _TOK + r""", l AS (SELECT array_to_string(w, ' ') AS line, any_value(w) AS w, min(doc_id) AS id FROM tok WHERE len(w) > 0 GROUP BY 1),
- s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM l WHERE len(w) >= 5), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+_NEAR = _TOK + r""", m AS (SELECT doc_id, coalesce(array_to_string(w, ' '), '') AS line, w FROM tok), c AS (SELECT doc_id, min(doc_id) OVER o AS class_id, count(*) OVER o AS class_size FROM m WINDOW o AS (PARTITION BY line)),
+ l AS (SELECT line, any_value(w) AS w, min(doc_id) AS id FROM m WHERE line <> '' GROUP BY 1),
+ s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) < 5 THEN [line] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM l), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
  p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.id < y.id GROUP BY ALL),
  near AS (SELECT a, b, round(c::DOUBLE / (u.n + v.n - c), 6) AS score FROM p JOIN n u ON u.id = a JOIN n v ON v.id = b WHERE c::DOUBLE / (u.n + v.n - c) >= 0.8)"""
 
@@ -37,8 +42,7 @@ def _knn(where):
 
 
 _LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents), rep AS (SELECT line, count(DISTINCT doc_id) AS n_docs FROM ln WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2)"
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-_PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+_SESSIONS = "WITH a AS (SELECT *, CASE WHEN ts <= lag(ts) OVER o + INTERVAL 30 minutes THEN 0 ELSE 1 END AS new FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM b GROUP BY user_id, s"
 _USAGE = "event_type, count(*) AS n, round(sum(value), 4) AS value"
 
 ORACLES = {
@@ -53,13 +57,15 @@ ORACLES = {
     "k08_quality_measures": f"WITH {_TOK}, " + r"""l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines, text FROM documents)
  SELECT doc_id, len(w)::BIGINT AS n_tokens, round(length(array_to_string(w, ''))::DOUBLE / nullif(len(w), 0), 6) AS mean_token_length, round(1 - length(regexp_replace(text, '[^\p{L}]', '', 'g'))::DOUBLE / nullif(length(text), 0), 6) AS non_letter_share,
  round(1 - len(list_distinct(lines))::DOUBLE / nullif(len(lines), 0), 6) AS repeated_line_share FROM tok JOIN l USING (doc_id)""",
-    "k09_find_pii": f"SELECT * FROM (SELECT doc_id, 'email' AS kind, len(regexp_extract_all(text, '{_EMAIL}'))::BIGINT AS n FROM documents UNION ALL SELECT doc_id, 'phone', len(regexp_extract_all(text, '{_PHONE}'))::BIGINT FROM documents) WHERE n > 0",
-    "k10_mask_pii": f"SELECT doc_id, regexp_replace(regexp_replace(text, '{_EMAIL}', '<email>', 'g'), '{_PHONE}', '<phone>', 'g') AS text FROM documents",
+    "k09_find_pii": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, len(regexp_extract_all(text, '{p}'))::BIGINT AS n FROM documents" for k, p in PATTERNS.items()) + ") WHERE n > 0",
+    "k10_mask_pii": "SELECT doc_id, " + reduce(lambda text, kind: f"regexp_replace({text}, '{PATTERNS[kind]}', '<{kind}>', 'g')", PATTERNS, "text") + " AS text FROM documents",
     "k11_repeated_lines": f"WITH {_LINES} SELECT * FROM rep",
     "k12_drop_repeated_lines": f"WITH {_LINES}, k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM ln WHERE line NOT IN (SELECT line FROM rep) GROUP BY 1) SELECT doc_id, coalesce(k.text, '') AS text FROM documents d LEFT JOIN k USING (doc_id)",
     "k13_exact_duplicates": "SELECT md5(text) AS digest, count(*) AS n_docs, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "k14_near_duplicates": f"WITH {_NEAR} SELECT * FROM near",
-    "k16_duplicate_clusters": f"WITH RECURSIVE {_NEAR}, e AS (SELECT a, b FROM near UNION SELECT b, a FROM near), r(node, other) AS (SELECT a, b FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a) SELECT node, least(node, min(other)) AS cluster FROM r GROUP BY node",
+    "k14_near_duplicate_classes": f"WITH {_NEAR}, k AS (SELECT id, count(*) AS n_links FROM (SELECT a AS id FROM near UNION ALL SELECT b FROM near) GROUP BY 1) SELECT doc_id, class_id, class_size, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN k ON k.id = class_id",
+    "k16_duplicate_clusters": f"""WITH RECURSIVE {_NEAR}, e AS (SELECT a, b FROM near UNION SELECT b, a FROM near), r(node, other) AS (SELECT a, b FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+ t AS (SELECT node, least(node, min(other)) AS cluster FROM r GROUP BY node) SELECT doc_id AS node, coalesce(cluster, class_id) AS cluster FROM c LEFT JOIN t ON t.node = class_id WHERE class_size > 1 OR cluster IS NOT NULL""",
     "k17_contains_passage": "SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "k18_chunk": r"""WITH a AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents), b AS (SELECT doc_id, w, unnest(range(0, (len(w) + 199) // 200)) AS c FROM a)
  SELECT doc_id, c::BIGINT AS chunk_no, len(w[c*200+1:c*200+250])::BIGINT AS n_tokens, array_to_string(w[c*200+1:c*200+250], ' ') AS text FROM b""",
@@ -79,7 +85,8 @@ ORACLES = {
     "k32_label_rates": "SELECT source, count(*) AS n_docs, count(quality) AS n_labelled, round(avg(quality), 6) AS quality_rate, round(avg(toxic), 6) AS toxic_rate FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "k33_unlabelled": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "k34_cooccurrence": f"""WITH {_TOK}, e AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS pos FROM tok), c AS (SELECT t, count(*) AS c FROM e GROUP BY 1),
- p AS (SELECT least(x.t, y.t) AS a, greatest(x.t, y.t) AS b, count(*) AS n FROM e x JOIN e y ON x.doc_id = y.doc_id AND y.pos IN (x.pos + 1, x.pos + 2) WHERE x.t <> y.t GROUP BY ALL HAVING count(*) >= 20)
+ x AS ({" UNION ALL ".join(f"SELECT t, lead(t, {s}) OVER (PARTITION BY doc_id ORDER BY pos) AS y FROM e" for s in range(1, 6))}),
+ p AS (SELECT least(t, y) AS a, greatest(t, y) AS b, count(*) AS n FROM x WHERE t <> y GROUP BY ALL HAVING count(*) >= 20)
  SELECT a, b, n, round(ln(n::DOUBLE * (SELECT count(*) FROM e) / (u.c::DOUBLE * v.c)), 6) AS pmi FROM p JOIN c u ON u.t = a JOIN c v ON v.t = b""",
     "k35_centroids": "SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY ALL",
     "k36_knn_label": f"WITH {_knn('true')}, t AS (SELECT query_id, label, count(*) AS votes FROM kn JOIN embeddings e ON kn.vec_id = e.vec_id GROUP BY ALL) SELECT query_id, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS n FROM t) WHERE n = 1",
@@ -88,10 +95,13 @@ ORACLES = {
     "k40_retrieve_for_turns": f"WITH {_bm25(f'SELECT conv_id * 1000 + turn AS query_id, question AS text FROM ({_QA}) WHERE conv_id % 20 = 0', 3)} SELECT * FROM bm",
     "k41_usage_tumbling": f"SELECT time_bucket(INTERVAL 1 hour, ts) AS start, {_USAGE} FROM events GROUP BY 1, 2",
     "k42_usage_sliding": f"SELECT time_bucket(INTERVAL 1 hour, ts) - INTERVAL 1 hour * k AS start, {_USAGE} FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2",
-    "k43_sessions": "WITH a AS (SELECT *, CASE WHEN ts < lag(ts) OVER o + INTERVAL 30 minutes THEN 0 ELSE 1 END AS new FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM b GROUP BY user_id, s",
+    "k43_sessions": _SESSIONS,
     "k44_running_usage": "SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS running, rank() OVER (PARTITION BY user_id ORDER BY value DESC) AS rank FROM events",
     "k45_funnel": "WITH u AS (SELECT user_id, min(ts) FILTER (event_type = 'view') AS v, max(ts) FILTER (event_type = 'purchase') AS p FROM events GROUP BY 1) SELECT count(*) AS users, count(v) AS viewed, count_if(p > v)::BIGINT AS bought_after FROM u",
     "k46_usage_by_prop": "SELECT json_extract_string(props, '$.k') AS prop, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1",
+    "k48_stream_usage": "SELECT * FROM (SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 1 hour",
+    "k49_stream_sessions": f"SELECT user_id, start, n FROM ({_SESSIONS}) WHERE last + INTERVAL 30 minutes <= (SELECT max(ts) FROM events) - INTERVAL 1 hour",
+    "k51_stream_view_purchase": "SELECT v.user_id, v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON v.user_id = p.user_id AND p.ts > v.ts AND p.ts <= v.ts + INTERVAL 6 hours WHERE v.event_type = 'view' AND p.event_type = 'purchase'",
     "k52_stream_user_state": "SELECT user_id, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1",
     "k53_stream_index": f"WITH {_TF} SELECT term, doc_id, tf FROM tf",
     "k54_register_fn": "SELECT doc_id, len(regexp_extract_all(text, '[aeiouAEIOU]'))::BIGINT AS n_vowels FROM documents",

@@ -47,7 +47,11 @@ def _index(spark, d):
 
 
 def _stream(fn, mode="append"):
-    return lambda spark, d: streams.drain(fn(load_stream(spark, d, "events")), mode)
+    def run(spark, d):
+        out = streams.drain(fn(load_stream(spark, d, "events")), mode)
+        return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else F.col(c) for c, kind in out.dtypes])
+
+    return run
 
 
 def _documents_stream(spark, d):
@@ -106,7 +110,8 @@ QUERIES = {
     "k13_exact_duplicates": _of(duplicates.exact_duplicates, "documents"),
     "k14_near_duplicates": _of(duplicates.near_duplicates, "documents"),
     "k15_near_duplicates_lsh": _of(duplicates.near_duplicates_lsh, "documents"),
-    "k16_duplicate_clusters": _of(lambda d: duplicates.duplicate_clusters(duplicates.near_duplicates(d)), "documents"),
+    "k14_near_duplicate_classes": _of(duplicates.near_duplicate_classes, "documents"),
+    "k16_duplicate_clusters": _of(duplicates.document_clusters, "documents"),
     "k17_contains_passage": _of(duplicates.contains_passage, "documents", "benchmark"),
     "k18_chunk": _of(index.chunk, "documents"),
     "k19_postings": _of(_positions, "documents"),

@@ -30,6 +30,8 @@ def shared(spark: SparkSession, what: str) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not own.isDefined() and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = own.get() if own.isDefined() else f"file://{tempfile.mkdtemp(prefix='loreforge-')}"
         spark.sparkContext.setCheckpointDir(at) if not own.isDefined() else None
     return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"

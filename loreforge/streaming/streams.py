@@ -59,16 +59,25 @@ def drain(out: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def stream_index(stream: DataFrame, path: str | None = None) -> DataFrame:
-    """Postings kept up with a stream of documents: new ones replace old postings of their doc_id. A version per batch."""
+    """Postings kept up with a stream of documents: new ones replace old postings of their doc_id.
+
+    Each batch writes its own postings and ids beside those of earlier batches, so its cost is that of its own documents;
+    a document's postings are those of the last batch that had it. All that is known lies in path, so a stream that starts
+    again with the same path goes on where it ended, and a batch that runs again overwrites its own. A document that
+    occurs twice in one batch has the postings of all its texts there.
+    """
     spark, path = stream.sparkSession, path or shared(stream.sparkSession, "index")
-    last: list[str] = []
 
     def update(batch, k):
-        new = counts(batch)
-        if last:
-            new = spark.read.parquet(last[-1]).join(batch.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{path}/v{k}")
-        last.append(f"{path}/v{k}")
+        counts(batch).write.mode("overwrite").parquet(f"{path}/postings/batch={k}")
+        batch.select("doc_id").distinct().write.mode("overwrite").parquet(f"{path}/ids/batch={k}")
 
+    update(spark.createDataFrame([], stream.schema), -1)  # so that a stream without documents has an index, too
     stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(update).start().awaitTermination()
-    return spark.read.parquet(last[-1])
+    return read_stream_index(spark, path)
+
+
+def read_stream_index(spark, path: str) -> DataFrame:
+    """term, doc_id, tf."""
+    last = spark.read.parquet(f"{path}/ids").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/postings").join(last, ["doc_id", "batch"], "left_semi").select("term", "doc_id", "tf")
