@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, lm_scoring, mixing, packing, quality, simhash, token_files, toxicity, vectors
+from . import exact_dedup, licenses, lm_scoring, mixing, packing, quality, simhash, token_files, toxicity, vectors, whitening
 from .common import table
 from .subwords import public
 
@@ -58,6 +58,10 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return vectors.links(table(spark, sf_dir, "embeddings"), threshold=0.9).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents)
@@ -91,5 +95,5 @@ SELECT doc_id, size, source_size, target, ((whole + CASE WHEN odds IS NOT NULL A
 
 QUERIES = {"op1_token_files": op1_token_files, "op5_packing": op5_packing, "op3_exact_dedup": op3_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_mixing": op7_mixing,
     "op2_lm_scoring": op2_lm_scoring, "op4_license_scan": op4_license_scan, "op8_quality_classifier": op8_quality_classifier, "op9_toxicity": op9_toxicity, "pipeline": pipeline,
-    "op10_embedding_near_dedup": op10_embedding_near_dedup}
+    "op10_embedding_near_dedup": op10_embedding_near_dedup, "op11_embedding_whitening": op11_embedding_whitening}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op7_mixing": OP7_SQL}
