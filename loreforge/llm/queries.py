@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, licenses, lm_scoring, mixing, packing, quality, simhash, token_files, toxicity, vectors, whitening
+from . import chat_format, exact_dedup, licenses, lm_scoring, mixing, packing, quality, repair, simhash, token_files, toxicity, vectors, whitening
 from .common import table
 from .subwords import public
 
@@ -69,6 +69,15 @@ def op12_chat_format(spark, sf_dir):
     return chat_format.digest(chat_format.format_conversations(conversations.unionByName(more)))
 
 
+def op13_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    found = repair.Repair(repair.damage(conversations)).report().withColumnRenamed("conv_id", "own")
+    every = conversations.select("conv_id").distinct()  # those that no row is left of, too
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("own")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents)
@@ -102,7 +111,7 @@ SELECT doc_id, size, source_size, target, ((whole + CASE WHEN odds IS NOT NULL A
 
 QUERIES = {"op1_token_files": op1_token_files, "op5_packing": op5_packing, "op3_exact_dedup": op3_exact_dedup, "op6_simhash_near_dedup": op6_simhash_near_dedup, "op7_mixing": op7_mixing,
     "op2_lm_scoring": op2_lm_scoring, "op4_license_scan": op4_license_scan, "op8_quality_classifier": op8_quality_classifier, "op9_toxicity": op9_toxicity, "pipeline": pipeline,
-    "op10_embedding_near_dedup": op10_embedding_near_dedup, "op11_embedding_whitening": op11_embedding_whitening, "op12_chat_format": op12_chat_format}
+    "op10_embedding_near_dedup": op10_embedding_near_dedup, "op11_embedding_whitening": op11_embedding_whitening, "op12_chat_format": op12_chat_format, "op13_conversation_repair": op13_conversation_repair}
 #: The template's marks: <s> ahead of a conversation, <<SYS>>, [INST] and </s> around turns, [ROLE] ... [/TURN] around those of any other role.
 _ESCAPED = r"""regexp_replace(regexp_replace({}, '\[(\\*)(/INST\]|INST\]|/ROLE\]|ROLE\]|/TURN\])', '[\\\1\2', 'g'), '<(\\*)(s>|/s>|<SYS>>|</SYS>>)', '<\\\1\2', 'g')"""
 OP12_SQL = f"""

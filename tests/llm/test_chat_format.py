@@ -82,10 +82,10 @@ def test_segments_hold_the_loss(spark):
 
 
 def test_another_template(spark):
-    chat = cf.Template("", {"human": cf.Turn("|h|", "|end|"), "bot": cf.Turn("|b|", "|stop|", loss=True)}, ("|r|", "|n|", "|x|"), {cf.START: ("human",), "human": ("bot",), "bot": ("human",)}, ("bot", "human"))
-    df = spark.createDataFrame([(1, 0, "human", "|h|"), (1, 1, "bot", "|stop|"), (2, 0, "tool", "t")], SCHEMA)
+    chat = cf.Template("", {"human": cf.Turn("<h>", "<end>"), "bot": cf.Turn("<b>", "<stop>", loss=True)}, ("<r>", "<n>", "<x>"), {cf.START: ("human",), "human": ("bot",), "bot": ("human",)}, ("bot", "human"))
+    df = spark.createDataFrame([(1, 0, "human", "<h>"), (1, 1, "bot", "<stop>"), (2, 0, "tool", "t")], SCHEMA)
     got = {r["conv_id"]: r for r in cf.digest(cf.format_conversations(df, chat), chat).collect()}
-    assert got[1]["turns_sha256"] == sha("human\n|h|\nbot\n|stop|\n") and got[1]["loss_sha256"] == sha("|stop|") and got[1]["first_fault"] is None and got[2]["first_fault"] == 0
+    assert got[1]["turns_sha256"] == sha("human\n<h>\nbot\n<stop>\n") and got[1]["loss_sha256"] == sha("<stop>") and got[1]["first_fault"] is None and got[2]["first_fault"] == 0
     for begin, behind in (("ab", "bc"), ("x", "yy"), ("aba", "ccc"), ("a\\b", "cc")):
         with pytest.raises(ValueError):
             cf.Template(begin, {"u": cf.Turn("<u>", behind)}, ("(1", "(2", "(3"), {}, ())
