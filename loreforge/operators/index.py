@@ -1,10 +1,12 @@
 """The text index: chunks, postings and their statistics."""
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, with_array
-from ..sources.tables import shared
+from ..sources.tables import drop, keep, shared
 
 
 def chunk(documents: DataFrame, size: int = 250, step: int = 200) -> DataFrame:
@@ -35,20 +37,88 @@ def corpus_stats(documents: DataFrame) -> DataFrame:
     return documents.select(F.size(tokens("text")).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean_length"))
 
 
-def write_index(postings: DataFrame, path: str | None = None) -> str:
-    """Postings in folders by the first hex digit of the term's digest, each sorted by term, so that a lookup reads one.
-
-    They are dealt into ranges of bucket, term and doc_id, so that a very frequent term is split over tasks, too."""
-    path = path or shared(postings.sparkSession, "index")
-    bucketed = postings.withColumn("bucket", F.substring(F.md5("term"), 1, 1))
-    bucketed.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(path)
-    return path
-
-
-def read_index(spark, path: str, terms: list[str] | None = None, schema: str = "term string, doc_id bigint, tf bigint, bucket string") -> DataFrame:
-    found = spark.read.schema(schema).parquet(path)  # an index of nothing has no files
-    if terms is not None:
-        import hashlib
-
-        found = found.where(F.col("bucket").cast("string").isin(sorted({hashlib.md5(t.encode()).hexdigest()[0] for t in terms})) & F.col("term").isin(terms))
-    return found
+#: Postings of a bucket, about, and of one term in a shard; terms of more shards than one that each task gets, at most.
+BUCKET, SHARD, HOT = 1 << 18, 1 << 20, 1 << 19
+_POSTINGS = "slot bigint, term string, doc_id bigint, tf bigint, dl bigint, positions array<int>"
+_TERMS = "term string, df bigint, cf bigint, shards int"
+
+
+class Index:
+    """A stored index: what searches read in place of documents. It survives its session: ``Index(spark, path)`` opens what :func:`write_index` wrote.
+
+    postings (slot, term, doc_id, tf, dl, positions) are bucketed and sorted by slot, the hash of a term and a shard of it, terms (term, df, cf,
+    shards) by term. So joins with query terms shuffle the queries alone, a few terms' lookup reads their buckets alone, and a term of more
+    than ``SHARD`` documents lies in several buckets. dl is the document's length. n and mean_length count documents without tokens, too.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        totals = spark.read.parquet(f"{path}/totals").first()
+        self.n, self.mean_length, self.buckets = totals["n"], totals["mean_length"], totals["buckets"]
+        self.postings = self._bucketed("postings", _POSTINGS, "slot")
+        self.terms = self._bucketed("terms", _TERMS, "term")
+
+    def _bucketed(self, what: str, schema: str, by: str) -> DataFrame:
+        name, at = _table(self.path, what), f"{self.path}/{what}".replace("'", "")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+        return self.spark.table(name)
+
+    def of(self, terms: DataFrame) -> DataFrame:
+        """terms (term and others) with their df and cf, and a row for each slot of theirs. Terms that no document has are left out."""
+        return terms.join(self.terms, "term").withColumn("slot", F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda i: _slot(F.col("term"), i)))).drop("shards")
+
+    def hits(self, terms: DataFrame, *columns: str) -> DataFrame:
+        """The postings of terms (term and others), with the given columns of postings."""
+        asked = self.of(terms).withColumnRenamed("slot", "own_slot").withColumnRenamed("term", "own_term")
+        # the terms are compared by two bounds, as a second equal column would make Spark shuffle the postings
+        same = (F.col("slot") == F.col("own_slot")) & (F.col("term") <= F.col("own_term")) & (F.col("term") >= F.col("own_term"))
+        return self.postings.select("slot", "term", *columns).join(asked, same).drop("own_slot", "own_term")
+
+    def lookup(self, terms: list[str]) -> DataFrame:
+        """Postings of a few terms: reads their buckets alone."""
+        slots = [r["slot"] for r in self.of(self.spark.createDataFrame([(t,) for t in set(terms)], "term string")).select("slot").collect()] if terms else []
+        return self.postings.where(F.col("slot").isin(slots) & F.col("term").isin(terms)).drop("slot")
+
+
+def _table(path: str, what: str) -> str:
+    return f"index_{hashlib.md5(path.encode()).hexdigest()}_{what}"
+
+
+def _slot(term: Column, shard: Column) -> Column:
+    return F.xxhash64(term, shard)
+
+
+def _shards(rows: DataFrame, n: int) -> DataFrame:
+    """term, shards of the terms that more than SHARD of the n documents have, HOT of them at most. Shards only say where postings lie."""
+    most, none = SHARD, rows.sparkSession.createDataFrame([], "term string, shards int")
+    if n <= most:
+        return none
+    often = keep(rows.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > most), "often")
+    while often.where(F.col("df") > most).count() > HOT:
+        most *= 4
+    return often.where(F.col("df") > most).select("term", F.ceil(F.col("df") / most).cast("int").alias("shards"))
+
+
+def write_index(documents: DataFrame, path: str | None = None, buckets: int | None = None) -> Index:
+    """Tokens are made once and kept while the index is written. Rows that repeat a doc_id are one document whose length and counts add up and whose
+    positions are those in each text; rows without a doc_id are left out."""
+    spark, path = documents.sparkSession, path or shared(documents.sparkSession, "index")
+    rows = keep(documents.where("doc_id is not null").select("doc_id", F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("w")), "tokens")
+    lengths = rows.groupBy("doc_id").agg(F.sum(F.size("w")).alias("dl"), F.count(F.lit(1)).alias("times"))
+    repeated = keep(lengths.where("times > 1").select("doc_id", "dl"), "repeated")
+    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean_length"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
+    buckets = buckets or min(100_000, -(-totals["tokens"] // BUCKET) or 1)
+    hot = F.broadcast(_shards(rows, totals["n"]))
+    own = rows.select("doc_id", F.size("w").cast("long").alias("size"), "w")
+    own = own.join(repeated, "doc_id", "left").select("doc_id", F.coalesce("dl", "size").alias("dl"), F.posexplode("w").alias("pos", "term"))
+    shard = F.pmod(F.xxhash64("doc_id"), F.coalesce("shards", F.lit(1))).cast("int")
+    each = own.join(hot, "term", "left").select(_slot(F.col("term"), shard).alias("slot"), "term", "doc_id", "dl", "pos")
+    found = each.repartition(buckets, "slot").groupBy("slot", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    found.write.bucketBy(buckets, "slot").sortBy("slot", "term", "doc_id").option("path", f"{path}/postings").mode("overwrite").saveAsTable(_table(path, "postings"))
+    terms = spark.table(_table(path, "postings")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    terms = terms.join(hot, "term", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).repartition(buckets, "term")
+    terms.write.bucketBy(buckets, "term").sortBy("term").option("path", f"{path}/terms").mode("overwrite").saveAsTable(_table(path, "terms"))
+    spark.createDataFrame([(totals["n"], totals["mean_length"], buckets)], "n long, mean_length double, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    for kept in (rows, repeated):
+        drop(kept)
+    return Index(spark, path)

@@ -2,12 +2,12 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.tables import keep
-from .index import counts, term_stats
+from .index import Index, counts, term_stats
 
 #: Vectors of a block.
 BLOCK = 4096
@@ -33,27 +33,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
 
 
-def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score, rank. Only the queries' terms are counted, and each document's length travels with its postings."""
-    terms = query_terms(queries)
-    rows = keep(documents.select("doc_id", tokens("text").alias("w")), "tokens")
-    n_mean = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean_length"))
-    tf = rows.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = keep(tf.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")), "tf")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = df.join(F.broadcast(n_mean)).select("term", "mean_length", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_length")))
-    scores = tf.join(stats, "term").select("term", "doc_id", part.alias("part")).join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return ranked(scores, "query_id", "doc_id", k)
+def _scored(index: Index, queries: DataFrame, part: Column, k: int) -> DataFrame:
+    """query_id, doc_id, score, rank: the sums of part over the postings of each query's terms. Only the queries are shuffled to the index's buckets."""
+    parts = index.hits(query_terms(queries), "doc_id", "tf", "dl").select("query_id", "doc_id", part.alias("part"))
+    return ranked(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), "query_id", "doc_id", k)
 
 
-def tfidf(documents: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id, score, rank. queries: query_id, text."""
+    idf = F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return _scored(index, queries, idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean_length))), k)
+
+
+def tfidf(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, doc_id, score, rank by the sum of (1 + ln tf) * ln(n / df)."""
-    terms = query_terms(queries)
-    found = keep(counts(documents).join(terms.select("term").distinct(), "term", "left_semi"), "counts")
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(documents.agg(F.count(F.lit(1)).alias("n"))))
-    parts = found.join(df, "term").select("term", "doc_id", ((1 + F.log("tf")) * F.log(F.col("n") / F.col("df"))).alias("part"))
-    return ranked(parts.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")), "query_id", "doc_id", k)
+    return _scored(index, queries, (1 + F.log("tf")) * F.log(F.lit(index.n) / F.col("df")), k)
 
 
 def top_terms(documents: DataFrame, k: int = 5) -> DataFrame:
@@ -64,13 +58,23 @@ def top_terms(documents: DataFrame, k: int = 5) -> DataFrame:
     return ranked(weighed, "doc_id", "term", k, "weight")
 
 
-def phrase_search(documents: DataFrame, phrase: list[str]) -> DataFrame:
-    """doc_id, n_matches, first_pos of adjacent tokens, by joins of the phrase's postings alone."""
-    each = keep(documents.select("doc_id", F.posexplode(tokens("text")).alias("pos", "term")).where(F.col("term").isin(phrase)), "phrase")
-    out = each.where(F.col("term") == phrase[0]).select("doc_id", "pos")
-    for i, t in enumerate(phrase[1:], 1):
-        out = out.join(each.where(F.col("term") == t).select("doc_id", (F.col("pos") - i).alias("pos")), ["doc_id", "pos"], "left_semi")
-    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_matches"), F.min("pos").cast("bigint").alias("first_pos"))
+def phrase_search(index: Index, phrases: DataFrame) -> DataFrame:
+    """query_id, doc_id, n_matches, first_pos: the documents that hold each phrase's tokens one after the other. phrases: query_id, text.
+
+    The postings of a phrase's other tokens are moved only for documents that have its rarest one. Of each of those documents the sorted
+    positions, each less its token's place in the phrase, are intersected, fewest first. Phrases without tokens are found nowhere.
+    """
+    words = phrases.select("query_id", tokens("text").alias("w")).select("query_id", F.size("w").alias("length"), F.posexplode("w").alias("place", "term"))
+    rarest = Window.partitionBy("query_id").orderBy("df", "place", "term")
+    known = words.join(index.terms.select("term", "df"), "term")
+    first = known.withColumn("nth", F.row_number().over(rarest)).where("nth = 1").select("query_id", "term")
+    docs = index.hits(first, "doc_id").select("query_id", "doc_id")
+    found = index.hits(words, "doc_id", "positions")
+    found = found.select("query_id", "doc_id", "length", F.struct(F.size("positions").alias("n"), F.transform("positions", lambda p: p - F.col("place")).alias("at")).alias("own"))
+    rows = found.join(docs, ["query_id", "doc_id"], "left_semi").groupBy("query_id", "doc_id").agg(F.max("length").alias("length"), F.sort_array(F.collect_list("own")).alias("parts")).where(F.size("parts") == F.col("length"))
+    both = F.reduce(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0]["at"], lambda at, own: F.array_intersect(at, own["at"]))
+    rows = rows.select("query_id", "doc_id", both.alias("at")).where(F.size("at") > 0)
+    return rows.select("query_id", "doc_id", F.size("at").cast("bigint").alias("n_matches"), F.array_min("at").cast("bigint").alias("first_pos"))
 
 
 def _rows(df: DataFrame) -> DataFrame:
