@@ -9,8 +9,8 @@ from ..functions.text import tokens
 from ..sources.tables import keep
 from .index import Index, counts, term_stats
 
-#: Vectors of a block.
-BLOCK = 4096
+#: Vectors of a block at most, of a cell about, and queries whose true neighbours say how many cells to visit.
+BLOCK, CELL, PILOTS = 4096, 32, 64
 
 
 def ranked(scores: DataFrame, key: str, item: str, k: int, score: str = "score") -> DataFrame:
@@ -78,65 +78,155 @@ def phrase_search(index: Index, phrases: DataFrame) -> DataFrame:
 
 
 def _rows(df: DataFrame) -> DataFrame:
-    return df.where("exists(embedding, x -> x <> 0)").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    """vec_id, v, dim of sound vectors: those that are not null or zero and hold no null and no number that isn't finite."""
+    v = F.col("embedding").cast("array<double>")
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+    return df.where(F.coalesce(sound, F.lit(False))).select("vec_id", v.alias("v"), F.size("embedding").alias("dim"))
 
 
-def _best(data: DataFrame, asked: DataFrame, k: int, nd: int, nq: int, *on: str) -> DataFrame:
-    """query_id, vec_id, score: the k best of each block of data (equal in on), for each of asked. nd, nq: numbers of blocks."""
-    block = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = data.withColumn("db", block(nd, 1)).withColumn("qb", every(nq))
-    asked = asked.withColumn("qb", block(nq, 2)).withColumn("db", every(nd))
+def _unit(table: pa.Table) -> np.ndarray:
+    x = table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+    x = x / np.abs(x).max(1, keepdims=True)  # so that no square overflows
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _best(data: DataFrame, asked: DataFrame, k: int, *on: str) -> DataFrame:
+    """query_id, vec_id, score: the k best of each block of data for each of asked. Both are in blocks: they have the columns on, dim, db and qb."""
 
     def best(q: pa.Table, d: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not q.num_rows or not d.num_rows:
             return empty
-        unit = lambda t: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1))
-        qi, di, y, out = q.column("vec_id").to_numpy(), d.column("vec_id").to_numpy(), unit(d), []
+        qi, di, y, out = q.column("vec_id").to_numpy(), d.column("vec_id").to_numpy(), _unit(d), []
         order = np.argsort(di, kind="stable")
         di, y = di[order], y[order]
         for a in range(0, len(qi), 256):
-            s = np.round(unit(q.slice(a, 256)) @ y.T, 6)
+            s = np.round(_unit(q.slice(a, 256)) @ y.T, 6)
             s[qi[a : a + 256, None] == di] = -2
             top = np.argsort(-s, axis=1, kind="stable")[:, :k]
             out.append((np.repeat(qi[a : a + 256], top.shape[1]), di[top].ravel(), np.take_along_axis(s, top, 1).ravel()))
         i, j, s = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"query_id": i[s > -2], "vec_id": j[s > -2], "score": s[s > -2]})
 
-    return asked.groupBy(*on, "qb", "db").cogroup(data.groupBy(*on, "qb", "db")).applyInArrow(best, "query_id long, vec_id long, score double")
+    keys = [*on, "dim", "qb", "db"]
+    data, asked = (df.select(*[F.col(c).alias(c) for c in [*keys, "vec_id", "v"]]) for df in (data, asked))  # both may come from one table
+    return asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
+
+
+def _blocks(data: DataFrame, asked: DataFrame, nd: Column, nq: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt into nd blocks of data and nq of queries, each row to all blocks of the other side."""
+    block = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    return data.withColumn("db", block(nd, 1)).withColumn("qb", every(nq)), asked.withColumn("qb", block(nq, 2)).withColumn("db", every(nd))
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, n_vectors: int | None = None, n_queries: int | None = None) -> DataFrame:
     """query_id, vec_id, score, rank by cosine in double precision, exact: blocks of queries against blocks of vectors.
 
-    Each block keeps its k best per query, so k rows a query leave it. Null and zero vectors find and are found by nothing.
+    Each block keeps its k best per query, so k rows a query leave it. Vectors that are null or zero or hold null, NaN or infinite parts find
+    and are found by nothing; vectors of different lengths don't find each other.
     """
-    nd = -(-(n_vectors or vectors.count()) // BLOCK) or 1
-    nq = -(-(n_queries or queries.count()) // BLOCK) or 1
-    return ranked(_best(_rows(vectors), _rows(queries), k, nd, nq), "query_id", "vec_id", k)
-
-
-def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, bucket: float = 0.5, tables: int = 8) -> DataFrame:
-    """Approximate: random projections of the vectors' directions, then the best by cosine of all that share a bucket in some table.
-
-    Each bucket keeps its k best per query, as :func:`knn` does of its blocks. Queries that find fewer than k are asked again by :func:`knn`.
+    nd = -(-(vectors.count() if n_vectors is None else n_vectors) // BLOCK) or 1
+    nq = -(-(queries.count() if n_queries is None else n_queries) // BLOCK) or 1
+    return ranked(_best(*_blocks(_rows(vectors), _rows(queries), F.lit(nd), F.lit(nq)), k), "query_id", "vec_id", k)
+
+
+class SignHash:
+    """``tables`` hashes of ``bits`` signs of random orthogonal projections. A query's cells are visited by the squared projections that the changed signs cost."""
+
+    def __init__(self, dim: int, n: int, tables: int):
+        self.bits = max(1, min(16, dim, round(np.log2(max(2, n / CELL)))))
+        rng = np.random.default_rng(dim)
+        self.planes = [np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, : self.bits] for _ in range(tables)]
+        self.cells, self.powers = 1 << self.bits, 1 << np.arange(self.bits)
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row in each table."""
+        return np.stack([((x @ h > 0) @ self.powers) for h in self.planes], axis=1)
+
+    def order(self, x: np.ndarray, table: int, most: int) -> np.ndarray:
+        """The first cells of each row's order."""
+        p = x @ self.planes[table]
+        cost = np.zeros((len(x), 1))
+        for b in range(self.bits):  # by which signs are changed
+            cost = np.concatenate([cost, cost + p[:, b : b + 1] ** 2], axis=1)
+        first = np.argpartition(cost, min(most, self.cells) - 1, axis=1)[:, :most] if most < self.cells else np.argsort(cost, axis=1)
+        first = np.take_along_axis(first, np.argsort(np.take_along_axis(cost, first, 1), axis=1, kind="stable"), 1)
+        return first ^ ((p > 0) @ self.powers)[:, None]
+
+    def visits(self, asked: np.ndarray, near: list[np.ndarray], recall: float) -> int:
+        """The least number of cells to visit in each table that finds that share of the queries' true neighbours."""
+        least = np.full(sum(map(len, near)), self.cells)
+        for t in range(len(self.planes)):
+            order, at = self.order(asked, t, self.cells), 0
+            rank = np.empty_like(order)
+            np.put_along_axis(rank, order, np.arange(self.cells)[None].repeat(len(asked), 0), 1)
+            for i, x in enumerate(near):
+                if len(x):
+                    least[at : at + len(x)] = np.minimum(least[at : at + len(x)], rank[i, self.codes(x)[:, t]])
+                at += len(x)
+        return int(np.quantile(least, recall, method="higher")) + 1 if len(least) else self.cells
+
+
+def _probed(vectors: DataFrame, queries: DataFrame, k: int, recall: float, tables: int) -> tuple[DataFrame, DataFrame] | None:
+    """Vectors of one length in their cells, and queries in the cells that they visit, in blocks. None if there is nothing to visit."""
+    n, dim = vectors.count(), (vectors.select("dim").first() or [0])[0]
+    pilots = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOTS)
+    asked = {r["vec_id"]: r["v"] for r in pilots.collect()}
+    if not asked or n < 2:
+        return None
+    some = vectors.sparkSession.createDataFrame([(i, v) for i, v in asked.items()], "vec_id long, embedding array<double>")
+    true = knn(vectors.select("vec_id", F.col("v").alias("embedding")), some, k, n, PILOTS)
+    near: dict = {i: [] for i in asked}
+    for r in true.select("query_id", "vec_id").join(vectors.select("vec_id", "v"), "vec_id").collect():  # k rows a pilot, or a few more where ids repeat
+        near[r["query_id"]].append(r["v"])
+    unit = lambda x: np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    own = SignHash(dim, n, tables)
+    most = own.visits(unit(list(asked.values())), [unit(v) if v else np.zeros((0, dim)) for v in near.values()], recall)
+
+    def placed(visits):
+        def each(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    x = _unit(pa.Table.from_batches([part]))
+                    cells = np.stack([own.order(x, t, visits) for t in range(tables)], axis=1) if visits else own.codes(x)[:, :, None]
+                    rows, table = np.repeat(np.arange(len(x)), cells[0].size), np.tile(np.repeat(np.arange(tables), cells.shape[2]), len(x))
+                    for s in (slice(i, i + (1 << 14)) for i in range(0, len(rows), 1 << 14)):
+                        own_rows = part.take(pa.array(rows[s]))
+                        yield pa.RecordBatch.from_arrays([*own_rows.columns, pa.array(table[s], pa.int32()), pa.array(cells.ravel()[s], pa.int64())], names=["vec_id", "v", "dim", "table", "cell"])
+
+        return each
+
+    schema = "vec_id long, v array<double>, dim int, table int, cell long"
+    data, probes = (df.mapInArrow(placed(v), schema) for df, v in ((vectors, 0), (queries, most)))
+    nd = data.groupBy("table", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nd"))
+    nq = probes.groupBy("table", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nq"))
+    sizes = keep(nd.join(nq, ["table", "cell"]), "sizes")  # cells without vectors or queries are gone through by no one
+    sizes = F.broadcast(sizes) if sizes.count() <= 1 << 18 else sizes
+    data, probes = (df.join(sizes, ["table", "cell"]) for df in (data, probes))
+    return _blocks(data, probes, F.col("nd"), F.col("nq"))
+
+
+def _lengths(vectors: DataFrame) -> list[int]:
+    return sorted(r["dim"] for r in vectors.select("dim").distinct().collect())  # a row per length
+
+
+def knn_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.95, tables: int = 4) -> DataFrame:
+    """query_id, vec_id, score, rank: approximate, by several tables of sign hashes, the best by cosine in double precision of all vectors met.
+
+    The number of signs follows from the number of vectors, so that cells hold ``CELL`` of them, about. How many cells a query visits in each table is
+    what ``PILOTS`` queries need to meet the given share of their true neighbours, which :func:`knn` finds. Cells of more than ``BLOCK``
+    vectors or queries are split. Queries that find fewer than k are asked again by :func:`knn`. Odd vectors are treated as there.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = _rows(vectors)
-    if rows.isEmpty():
+    rows, asked = keep(_rows(vectors), "vectors"), keep(_rows(queries), "asked")
+    parts = [p for n in _lengths(rows) if (p := _probed(rows.where(F.col("dim") == n), asked.where(F.col("dim") == n), k, recall, tables))]
+    if not parts:
         return knn(vectors, queries, k)
-    units = Normalizer(inputCol="raw", outputCol="u").transform(rows.withColumn("raw", array_to_vector("v")))
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(units)
-    each = model.transform(units).select("vec_id", "v", F.posexplode("h").alias("table", "h"))
-    hashed = keep(each.select("vec_id", "v", "table", vector_to_array("h")[0].cast("long").alias("bucket")), "hashed")
-    asked = hashed.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
-    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
-    nd, nq = -(-vectors.count() // BLOCK), -(-queries.count() // BLOCK) or 1
-    found = _best(hashed, asked, k, nd, nq, "table", "bucket").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    found = keep(ranked(found, "query_id", "vec_id", k), "found")
+    found = _best(*parts[0], k, "table", "cell")
+    for more in parts[1:]:
+        found = found.union(_best(*more, k, "table", "cell"))
+    found = keep(ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "query_id", "vec_id", k), "found")
     full = keep(found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id"), "full")
     short = keep(queries.join(full, queries["vec_id"] == full["query_id"], "left_anti"), "short")
     if short.isEmpty():
