@@ -16,18 +16,24 @@ def unlabelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select("doc_id").join(labels, "doc_id", "left_anti")
 
 
-def cooccurrence(documents: DataFrame, min_count: int = 20, span: int = 5) -> DataFrame:
-    """a, b, n, pmi: terms found within span tokens of each other, a < b. The work grows with the tokens, not with their square."""
-    rows = keep(documents.select(tokens("text").alias("w")), "tokens")
-    next_ = lambda i, s: F.get(F.col("w"), i + s)
-    both = lambda s: lambda x, i: F.struct(F.least(x, next_(i, s)).alias("a"), F.greatest(x, next_(i, s)).alias("b"), next_(i, s).alias("y"))
-    near = [F.transform("w", both(s)) for s in range(1, span + 1)]
-    pairs = rows.select(F.inline(F.flatten(F.array(*near)))).where("y is not null and a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    terms = rows.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
-    total = F.broadcast(rows.agg(F.sum(F.size("w")).alias("total")))
-    out = pairs.join(terms.select(F.col("t").alias("a"), F.col("c").alias("ca")), "a").join(terms.select(F.col("t").alias("b"), F.col("c").alias("cb")), "b").join(total)
-    pmi = F.log(F.col("n").cast("double") * F.col("total") / (F.col("ca").cast("double") * F.col("cb")))
-    return out.select("a", "b", "n", F.round(pmi, 6).alias("pmi"))
+def cooccurrence(documents: DataFrame, min_share: float = 0.1) -> DataFrame:
+    """a, b, n, pmi: pairs of terms that are found together in min_share of all documents or more, a < b, anywhere in their texts.
+
+    Terms of fewer documents can't be in such a pair and go first. Those left are at most the mean number of a document's terms over min_share,
+    however many documents there are; they are counted by number, each task's counts before the shuffle. Each row is a document, and one without text counts.
+    """
+    rows = keep(documents.select(F.monotonically_increasing_id().alias("row"), F.array_distinct(F.coalesce(tokens("text"), F.array().cast("array<string>"))).alias("w")), "tokens")
+    total = rows.count()
+    each = rows.select("row", F.explode("w").alias("term"))
+    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_share * total)
+    often = keep(df.withColumn("id", F.monotonically_increasing_id()), "often")
+    own = each.join(F.broadcast(often.select("term", "id")), "term").groupBy("row").agg(F.collect_list("id").alias("ids"))
+    one = own.select("ids", F.posexplode("ids").alias("at", "x")).select("x", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("y"))
+    pairs = one.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_share * total)
+    of = lambda side: F.broadcast(often.select(F.col("id").alias(side), F.col("term").alias(f"{side}_term"), F.col("df").alias(f"{side}_df")))
+    found = pairs.join(of("x"), "x").join(of("y"), "y")
+    pmi = F.log(F.col("n").cast("double") * total / (F.col("x_df").cast("double") * F.col("y_df")))
+    return found.select(F.least("x_term", "y_term").alias("a"), F.greatest("x_term", "y_term").alias("b"), "n", F.round(pmi, 6).alias("pmi"))
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -45,7 +51,7 @@ def knn_label(neighbours: DataFrame, vectors: DataFrame) -> DataFrame:
 def quality_model(documents: DataFrame, labels: DataFrame, features: int = 1 << 16) -> DataFrame:
     """doc_id, probability of good quality, from the shares that tokens and runs of marks have of a text.
 
-    Fitted on the labelled documents, by Spark's own distributed regression."""
+    Fitted on the labelled documents, by Spark's own distributed regression. Null texts count as empty, and without labels all probabilities are null."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, Normalizer
@@ -54,5 +60,8 @@ def quality_model(documents: DataFrame, labels: DataFrame, features: int = 1 <<
     marks = F.transform(F.regexp_extract_all("text", F.lit(r"[^\p{L}\p{N} ]+"), F.lit(0)), lambda m: F.substring(m, 1, 4))
     rows = documents.select("doc_id", F.coalesce(F.concat(tokens("text"), marks), F.array().cast("array<string>")).alias("w"))
     steps = [HashingTF(inputCol="w", outputCol="tf", numFeatures=features), Normalizer(inputCol="tf", outputCol="x", p=1.0), LogisticRegression(featuresCol="x", labelCol="quality", maxIter=60, regParam=1e-5, standardization=False)]
-    model = Pipeline(stages=steps).fit(rows.join(labels.where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id"))
+    known = rows.join(labels.where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id")
+    if known.isEmpty():
+        return rows.select("doc_id", F.lit(None).cast("double").alias("probability"))
+    model = Pipeline(stages=steps).fit(known)
     return model.transform(rows).select("doc_id", vector_to_array("probability")[1].alias("probability"))

@@ -84,10 +84,10 @@ ORACLES = {
  m AS (SELECT round(avg(rr), 6) AS mrr FROM (SELECT query_id, coalesce(max(1::DOUBLE / rank), 0) AS rr FROM f GROUP BY 1)) SELECT k::BIGINT AS k, (SELECT round(count_if(rank <= k)::DOUBLE / count(*), 6) FROM f) AS recall, (SELECT mrr FROM m) AS mrr FROM (SELECT unnest([1, 5, 10]) AS k)""",
     "k32_label_rates": "SELECT source, count(*) AS n_docs, count(quality) AS n_labelled, round(avg(quality), 6) AS quality_rate, round(avg(toxic), 6) AS toxic_rate FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "k33_unlabelled": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "k34_cooccurrence": f"""WITH {_TOK}, e AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS pos FROM tok), c AS (SELECT t, count(*) AS c FROM e GROUP BY 1),
- x AS ({" UNION ALL ".join(f"SELECT t, lead(t, {s}) OVER (PARTITION BY doc_id ORDER BY pos) AS y FROM e" for s in range(1, 6))}),
- p AS (SELECT least(t, y) AS a, greatest(t, y) AS b, count(*) AS n FROM x WHERE t <> y GROUP BY ALL HAVING count(*) >= 20)
- SELECT a, b, n, round(ln(n::DOUBLE * (SELECT count(*) FROM e) / (u.c::DOUBLE * v.c)), 6) AS pmi FROM p JOIN c u ON u.t = a JOIN c v ON v.t = b""",
+    "k34_cooccurrence": f"""WITH {_TOK}, e AS (SELECT DISTINCT doc_id, unnest(w) AS t FROM tok), m AS (SELECT count(*) AS total FROM documents),
+ c AS (SELECT t, count(*) AS c FROM e GROUP BY 1 HAVING count(*) >= 0.1 * (SELECT total FROM m)), f AS (SELECT doc_id, t, c FROM e JOIN c USING (t)),
+ p AS (SELECT x.t AS a, y.t AS b, any_value(x.c) AS ca, any_value(y.c) AS cb, count(*) AS n FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.t < y.t GROUP BY x.t, y.t)
+ SELECT a, b, n, round(ln(n::DOUBLE * total / (ca::DOUBLE * cb)), 6) AS pmi FROM p, m WHERE n >= 0.1 * total""",
     "k35_centroids": "SELECT label, pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY ALL",
     "k36_knn_label": f"WITH {_knn('true')}, t AS (SELECT query_id, label, count(*) AS votes FROM kn JOIN embeddings e ON kn.vec_id = e.vec_id GROUP BY ALL) SELECT query_id, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS n FROM t) WHERE n = 1",
     "k38_threads": "SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1",

@@ -1,6 +1,7 @@
 """Hand-made rows: nulls, empty tables, ties, repeats, texts of delimiters alone, restarts."""
 
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,7 +78,8 @@ def test_cleaning_and_counts_of_odd_texts(odd):
     assert cleaning.drop_repeated_lines(odd, cleaning.repeated_lines(odd)).count() == len(ODD)
     assert {r["term"] for r in index.counts(odd).collect()} == {"one", "two", "élan", "vital", "mañana", "por", "la", "sí"}
     assert {r["doc_id"] for r in index.chunk(odd).collect()} == {3, 4, 5, 6, 7, 8}
-    assert knowledge.cooccurrence(odd, min_count=1).where("a = 'one'").first()["n"] == 2
+    assert knowledge.cooccurrence(odd, min_share=0.2).where("a = 'one'").first()["n"] == 2
+    assert {(r["a"], r["b"]): r["n"] for r in knowledge.cooccurrence(odd, min_share=0.3).collect()} == {p: 3 for p in combinations(sorted({"élan", "vital", "mañana", "por", "la"}), 2)}
     assert catalogue.length_stats(odd).count() == 3
 
 
