@@ -102,7 +102,14 @@ ORACLES = {
     "k48_stream_usage": "SELECT * FROM (SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 1 hour",
     "k49_stream_sessions": f"SELECT user_id, start, n FROM ({_SESSIONS}) WHERE last + INTERVAL 30 minutes <= (SELECT max(ts) FROM events) - INTERVAL 1 hour",
     "k51_stream_view_purchase": "SELECT v.user_id, v.event_id AS view_id, p.event_id AS purchase_id FROM events v JOIN events p ON v.user_id = p.user_id AND p.ts > v.ts AND p.ts <= v.ts + INTERVAL 6 hours WHERE v.event_type = 'view' AND p.event_type = 'purchase'",
-    "k52_stream_user_state": "SELECT user_id, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1",
+    "k50_stream_dedup": """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+ nx AS (SELECT a.event_id, min(b.n) AS after FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.ts > a.ts + INTERVAL 1 hour GROUP BY 1),
+ r(event_id, user_id, event_type, ts) AS (SELECT event_id, user_id, event_type, ts FROM e WHERE n = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.event_type, e.ts FROM r JOIN nx ON nx.event_id = r.event_id JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.n = nx.after)
+ SELECT event_id, user_id, event_type, ts FROM r WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 1 hour""",
+    "k52_stream_user_state": """WITH a AS (SELECT *, CASE WHEN ts <= lag(ts) OVER o + INTERVAL 1 day THEN 0 ELSE 1 END AS new FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+ b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a), c AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, round(sum(value), 4) AS value FROM b GROUP BY user_id, s)
+ SELECT * FROM c WHERE last + INTERVAL 1 day < (SELECT max(ts) FROM events) - INTERVAL 1 hour""",
     "k53_stream_index": f"WITH {_TF} SELECT term, doc_id, tf FROM tf",
     "k54_register_fn": "SELECT doc_id, len(regexp_extract_all(text, '[aeiouAEIOU]'))::BIGINT AS n_vowels FROM documents",
     "k55_register_table_fn": "SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents",

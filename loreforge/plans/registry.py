@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import user
 from ..operators import catalogue, cleaning, duplicates, index, knowledge, search, usage
-from ..sources.tables import load, load_stream, shared
+from ..sources.tables import load, shared
 from ..streaming import streams
 from .oracles import ORACLES  # noqa: F401
 
@@ -76,7 +76,7 @@ def _index(spark, d):
 
 def _stream(fn, mode="append"):
     def run(spark, d):
-        out = streams.drain(fn(load_stream(spark, d, "events")), mode)
+        out = streams.drain(fn(streams.replay(load(spark, d, "events"))), mode)
         return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else F.col(c) for c, kind in out.dtypes])
 
     return run
@@ -175,7 +175,7 @@ QUERIES = {
     "k49_stream_sessions": _stream(streams.stream_sessions),
     "k50_stream_dedup": _stream(streams.stream_dedup),
     "k51_stream_view_purchase": _stream(streams.stream_view_purchase),
-    "k52_stream_user_state": _stream(streams.stream_user_state, "update"),
+    "k52_stream_user_state": _stream(streams.stream_user_state),
     "k53_stream_index": _documents_stream,
     "k54_register_fn": _user_fn,
     "k55_register_table_fn": _user_table_fn,

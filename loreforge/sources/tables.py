@@ -20,11 +20,6 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def load_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table's files as a stream, one file after the other."""
-    return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(folder)
-
-
 def shared(spark: SparkSession, what: str) -> str:
     """A new path in spark.checkpoint.dir, or in a folder of our own where that is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)

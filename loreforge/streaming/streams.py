@@ -6,7 +6,7 @@
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.index import counts
 from ..sources.tables import shared
@@ -26,8 +26,72 @@ def stream_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 h
     return rows.select("user_id", F.col("s.start").alias("start"), "n")
 
 
+def _stateful(stream: DataFrame, processor: StatefulProcessor, returns: str, late: str) -> DataFrame:
+    """Runs processor on event time, grouped by key, over the stream's rows with ``us``, the microseconds of ts."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers need it
+    rows = timed(stream, late).withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("key").transformWithStateInPandas(processor, returns, "append", "eventTime")
+
+
+def _micros(span: str) -> int:
+    return round(pd.Timedelta(span).total_seconds() * 1e6)
+
+
+class _Earliest(StatefulProcessor):
+    """Keeps a key's events until the watermark has passed them, then lets the survivors out in order of time."""
+
+    def __init__(self, span: int):
+        self.span = span
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long")
+        self.last = handle.getValueState("last", "us long")
+
+    def _wait(self, rows) -> None:
+        """Holds rows; wakes up when the watermark has passed the first one."""
+        rows = sorted(rows)
+        self.waiting.put(rows) if rows else self.waiting.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if rows:
+            self.handle.registerTimer(rows[0][0] // 1000 + 1)
+
+    def _held(self) -> list:
+        return [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(int(t), int(i)) for f in rows for t, i in zip(f["us"], f["event_id"], strict=True)]
+        self._wait(self._held() + new)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed, held, out = timerValues.getCurrentWatermarkInMs(), self._held(), []
+        last = self.last.get()[0] if self.last.exists() else None
+        for us, event in sorted(r for r in held if r[0] // 1000 < passed):
+            if last is None or us > last + self.span:
+                out.append((event, us))
+                last = us
+        if last is not None and (last + self.span) // 1000 >= passed:
+            self.last.update((last,))
+        else:
+            self.last.clear()  # whatever comes now is later than that
+        self._wait([r for r in held if r[0] // 1000 >= passed])
+        if out:
+            yield pd.DataFrame({"key": [key[0]] * len(out), "event_id": [e for e, _ in out], "us": [u for _, u in out]})
+
+    def close(self) -> None:
+        pass
+
+
 def stream_dedup(stream: DataFrame, keys=("user_id", "event_type"), late: str = "1 hour") -> DataFrame:
-    return timed(stream, late).dropDuplicatesWithinWatermark(list(keys)).select("event_id", *keys, "ts")
+    """event_id, *keys, ts. Of the events of each key the earliest one survives (of equal times the smallest event_id) and drops those up to ``late`` after
+    it; the first one later than that survives next, and so on. An event is decided when the watermark has passed it, so the survivors don't
+    depend on how the stream is cut into batches; until then a key's events are its state."""
+    named = stream.withColumn("key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    kinds = ", ".join(f"{k} {dict(stream.dtypes)[k]}" for k in keys)
+    out = _stateful(named, _Earliest(_micros(late)), "key string, event_id long, us long", late)
+    return out.withColumn("k", F.from_json("key", kinds)).select("event_id", *[F.col(f"k.{k}").alias(k) for k in keys], F.timestamp_micros("us").alias("ts"))
 
 
 def stream_view_purchase(stream: DataFrame, span: str = "6 hours", late: str = "1 hour") -> DataFrame:
@@ -37,47 +101,153 @@ def stream_view_purchase(stream: DataFrame, span: str = "6 hours", late: str = "
     return view.join(buy, F.expr(f"user_id = buyer and bought > viewed and bought <= viewed + interval {span}")).select("user_id", "view_id", "purchase_id")
 
 
-def stream_user_state(stream: DataFrame) -> DataFrame:
-    """user_id, n, value: each user's totals so far, updated with each batch."""
+class _Spells(StatefulProcessor):
+    """Keeps a user's spells of use, and lets one go when its user has been silent for ``quiet``."""
+
+    def __init__(self, quiet: int):
+        self.quiet = quiet
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.spells = handle.getListState("spells", "first long, last long, n long, value double")
+
+    def _hold(self, spells: list) -> None:
+        self.spells.put(spells) if spells else self.spells.clear()
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if spells:
+            self.handle.registerTimer((min(s[1] for s in spells) + self.quiet) // 1000 + 1)
+
+    def _held(self) -> list:
+        return [tuple(r) for r in self.spells.get()] if self.spells.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(int(t), int(t), 1, 0.0 if pd.isna(v) else float(v)) for f in rows for t, v in zip(f["us"], f["value"], strict=True)]
+        out: list = []
+        for s in sorted(self._held() + new):
+            if out and s[0] <= out[-1][1] + self.quiet:
+                out[-1] = (out[-1][0], max(out[-1][1], s[1]), out[-1][2] + s[2], out[-1][3] + s[3])
+            else:
+                out.append(s)
+        self._hold(out)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed, held = timerValues.getCurrentWatermarkInMs(), self._held()
+        done = [s for s in held if (s[1] + self.quiet) // 1000 < passed]
+        self._hold([s for s in held if (s[1] + self.quiet) // 1000 >= passed])
+        if done:
+            yield pd.DataFrame({"key": [key[0]] * len(done), "first": [s[0] for s in done], "last": [s[1] for s in done], "n": [s[2] for s in done], "value": [round(s[3], 4) for s in done]})
 
-    def update(key, frames, state):
-        n, value = state.get if state.exists else (0, 0.0)
-        for f in frames:
-            n, value = n + len(f), value + float(f["value"].sum())
-        state.update((n, value))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "value": [round(value, 4)]})
+    def close(self) -> None:
+        pass
 
-    return stream.select("user_id", "value").groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, value double", "n long, value double", "update", GroupStateTimeout.NoTimeout)
+
+def stream_user_state(stream: DataFrame, quiet: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """user_id, first, last, n, value: the totals of each spell of a user's events with no pause of more than ``quiet``. It comes out, and its state goes, when
+    the watermark has passed the end of that pause. Null values count as none."""
+    out = _stateful(stream.withColumn("key", F.col("user_id")), _Spells(_micros(quiet)), "key long, first long, last long, n long, value double", late)
+    return out.select(F.col("key").alias("user_id"), F.timestamp_micros("first").alias("first"), F.timestamp_micros("last").alias("last"), "n", "value")
+
+
+def replay(rows: DataFrame, order: str = "ts", files: int = 4) -> DataFrame:
+    """rows as a stream that brings them in that order: files of equal size, the names and times of which go by the ranges they hold, one in each batch."""
+    spark, path = rows.sparkSession, shared(rows.sparkSession, "replay")
+    rows.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath().toString(), f.getPath()) for f in fs.listStatus(hadoop) if f.getPath().getName().startswith("part-"))
+    for k, (_, at) in enumerate(parts):  # a file a batch
+        fs.setTimes(at, 1_000_000_000_000 + 1000 * k, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
 def drain(out: DataFrame, mode: str = "append") -> DataFrame:
     """Every row that the stream writes, kept in the shared folder."""
     spark, path = out.sparkSession, shared(out.sparkSession, "stream")
     write = lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{path}/rows/b{k}")  # noqa: E731  a batch that runs again overwrites its own rows
+    write(spark.createDataFrame([], out.schema), -1)  # so that a stream of nothing has no rows
     out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/rows").drop("batch")
+    return spark.read.schema(out.schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
+
+
+#: Segments of one tier that are merged into one of the next.
+FAN = 4
 
 
 def stream_index(stream: DataFrame, path: str | None = None) -> DataFrame:
     """Postings kept up with a stream of documents: new ones replace old postings of their doc_id.
 
-    Each batch writes its own postings and ids beside those of earlier batches, so its cost is that of its own documents;
-    a document's postings are those of the last batch that had it. All that is known lies in path, so a stream that starts
-    again with the same path goes on where it ended, and a batch that runs again overwrites its own. A document that
-    occurs twice in one batch has the postings of all its texts there.
+    Each batch writes its own postings and ids as a segment, so its cost is that of its own documents. ``FAN`` segments of one tier are merged
+    into one of the next, without the postings that later batches replaced, so there are few segments however many batches came. A version file
+    names the segments in use once they are all written: readers take the last version, and segments go when neither it nor the one before names them. All that is
+    known lies in path, so a stream that starts again with the same path goes on where it ended, and a batch that runs again starts from the
+    version before it. A document that occurs twice in one batch has the postings of all its texts there; documents without a doc_id are left out.
     """
     spark, path = stream.sparkSession, path or shared(stream.sparkSession, "index")
 
     def update(batch, k):
-        counts(batch).write.mode("overwrite").parquet(f"{path}/postings/batch={k}")
-        batch.select("doc_id").distinct().write.mode("overwrite").parquet(f"{path}/ids/batch={k}")
-
-    update(spark.createDataFrame([], stream.schema), -1)  # so that a stream without documents has an index, too
+        rows = batch.where("doc_id is not null")
+        at = f"b{k}"
+        counts(rows).withColumn("batch", F.lit(k).cast("long")).write.mode("overwrite").parquet(f"{path}/segments/{at}/postings")
+        rows.select("doc_id", F.lit(k).cast("long").alias("batch")).distinct().write.mode("overwrite").parquet(f"{path}/segments/{at}/ids")
+        before = _version(spark, path, k)
+        live, tier = [*before, (at, 0)], 0
+        while len(group := [s for s in live if s[1] == tier]) >= FAN:
+            merged = (f"m{k}-{tier + 1}", tier + 1)
+            _merge(spark, path, [s for s, _ in group], merged[0])
+            live = [s for s in live if s[1] > tier] + [merged] + [s for s in live if s[1] < tier]
+            tier += 1
+        spark.createDataFrame([(n, *s) for n, s in enumerate(live)], "place int, segment string, tier int").coalesce(1).write.mode("overwrite").json(f"{path}/versions/{k}")
+        _sweep(spark, path, {s for s, _ in [*before, *live]})
+
+    if not _names(spark, f"{path}/versions"):
+        update(spark.createDataFrame([], stream.schema), -1)  # so that a stream without documents has an index, too
     stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(update).start().awaitTermination()
     return read_stream_index(spark, path)
 
 
+def _folder(spark, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _names(spark, path: str) -> list[str]:
+    fs, at = _folder(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def _version(spark, path: str, before: int | None = None) -> list[tuple[str, int]]:
+    """The segments of the last committed version, or of the last one before a batch."""
+    fs, _ = _folder(spark, path)
+    done = [int(n) for n in _names(spark, f"{path}/versions") if fs.exists(_folder(spark, f"{path}/versions/{n}/_SUCCESS")[1])]
+    done = [n for n in done if before is None or n < before]
+    if not done:
+        return []
+    rows = spark.read.schema("place int, segment string, tier int").json(f"{path}/versions/{max(done)}").collect()  # a row per segment
+    return [(r["segment"], r["tier"]) for r in sorted(rows)]
+
+
+def _live(spark, path: str, segments: list[str]) -> tuple[DataFrame, DataFrame]:
+    """postings and ids of segments, without what later batches among them replaced."""
+    read = lambda what, schema: spark.read.schema(schema).parquet(*[f"{path}/segments/{s}/{what}" for s in segments])
+    ids = read("ids", "doc_id long, batch long").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return read("postings", "term string, doc_id long, tf long, batch long").join(ids, ["doc_id", "batch"], "left_semi"), ids
+
+
+def _merge(spark, path: str, segments: list[str], into: str) -> None:
+    postings, ids = _live(spark, path, segments)
+    postings.select("term", "doc_id", "tf", "batch").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/segments/{into}/postings")
+    ids.write.mode("overwrite").parquet(f"{path}/segments/{into}/ids")
+
+
+def _sweep(spark, path: str, used: set) -> None:
+    for name in _names(spark, f"{path}/segments"):
+        if name not in used:
+            fs, at = _folder(spark, f"{path}/segments/{name}")
+            fs.delete(at, True)
+
+
 def read_stream_index(spark, path: str) -> DataFrame:
     """term, doc_id, tf."""
-    last = spark.read.parquet(f"{path}/ids").groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{path}/postings").join(last, ["doc_id", "batch"], "left_semi").select("term", "doc_id", "tf")
+    return _live(spark, path, [s for s, _ in _version(spark, path)])[0].select("term", "doc_id", "tf")
