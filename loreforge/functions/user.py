@@ -1,7 +1,9 @@
 """Functions that users bring: column functions, table functions and aggregates, all on Arrow batches."""
 
+import pickle
+
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,7 +22,7 @@ def register_table_fn(spark: SparkSession, name: str, cls, returns: str):
 
 
 def register_agg(spark: SparkSession, name: str, fn, returns: str):
-    """fn: pandas series of a group -> one value. A group's series must fit into a worker."""
+    """fn: pandas series of a group -> one value, usable in SQL. A group's series must fit into a worker; :func:`two_step_agg` has no such bound."""
 
     def aggregate(values: pd.Series) -> float:
         return fn(values)
@@ -28,3 +30,53 @@ def register_agg(spark: SparkSession, name: str, fn, returns: str):
     made = F.pandas_udf(aggregate, returns)
     spark.udf.register(name, made)
     return made
+
+
+#: Groups whose states a task holds before it lets them go on.
+GROUPS = 50_000
+
+
+def two_step_agg(df: DataFrame, keys: list[str], column: str, init, update, merge, finish, name: str, returns: str, fan: int = 64) -> DataFrame:
+    """keys, name: an aggregate whose groups may be of any size.
+
+    init() -> state; update(state, pandas series) -> state; merge(state, state) -> state; finish(state) -> value. Each task makes one state of its rows of a
+    group, ``fan`` tasks' states are merged at a time, then those: no worker sees a group's rows, and a hot group's states are spread, too. merge must not care
+    about order. Null keys are a group."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    named = df.select(*keys, F.col(column).alias("__v"))
+
+    def partial(frames):
+        from pyspark import TaskContext
+
+        part, states = TaskContext.get().partitionId(), {}
+
+        def out():
+            at = list(states)
+            made = pd.DataFrame({k: pd.Series([a[i] for a in at], dtype=object) for i, k in enumerate(keys)})
+            made["__part"], made["__state"] = part % fan, [pickle.dumps(states[a]) for a in at]
+            states.clear()
+            return made
+
+        for frame in frames:
+            for at, rows in frame.groupby(keys, dropna=False, sort=False)["__v"]:
+                at = tuple(None if pd.isna(k) else k for k in at)
+                states[at] = update(states[at] if at in states else init(), rows)
+            if len(states) > GROUPS:
+                yield out()
+        if states:
+            yield out()
+
+    def merged(last):
+        def each(at, frame):
+            states = map(pickle.loads, frame["__state"])
+            total = next(states)
+            for s in states:
+                total = merge(total, s)
+            one = {k: [frame[k].iloc[0]] for k in keys}
+            return pd.DataFrame({**one, name: [finish(total)]} if last else {**one, "__part": [0], "__state": [pickle.dumps(total)]})
+
+        return each
+
+    states = named.mapInPandas(partial, f"{kinds}, __part int, __state binary")
+    bundles = states.groupBy(*keys, "__part").applyInPandas(merged(False), f"{kinds}, __part int, __state binary")
+    return bundles.groupBy(*keys).applyInPandas(merged(True), f"{kinds}, {name} {returns}")

@@ -110,8 +110,16 @@ def _user_table_fn(spark, d):
 
 
 def _user_agg(spark, d):
-    fn = user.register_agg(spark, "value_range", lambda s: float(s.max() - s.min()) if len(s) else float("nan"), "double")
-    return load(spark, d, "events").groupBy("user_id").agg(F.round(fn("value"), 6).alias("value_range"))
+    """The least and the largest value of each user, as a state that tasks merge."""
+
+    def update(state, values):
+        return (min(state[0], values.min()), max(state[1], values.max())) if values.notna().any() else state
+
+    inf = float("inf")
+    return user.two_step_agg(
+        load(spark, d, "events").select("user_id", "value"), ["user_id"], "value", lambda: (inf, -inf), update, lambda a, b: (min(a[0], b[0]), max(a[1], b[1])),
+        lambda s: round(float(s[1] - s[0]), 6) if s[0] <= s[1] else None, "value_range", "double",
+    )
 
 
 def _positions(documents):
