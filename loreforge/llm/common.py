@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +59,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def slices(batches, rows: int = 512):
-    """Arrow batches cut into small ones, so that what a task makes of one stays small."""
+    """Arrow batches cut into small ones, so that what a task makes of one stays small. At its end the worker, which other tasks use again, gives back what it holds unused."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def lower_ascii(text):
