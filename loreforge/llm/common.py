@@ -1,5 +1,7 @@
 """What the training-data operators share: tables of an input folder and tables kept in the shared folder."""
 
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -13,6 +15,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a narrow table up to which it may be broadcast (some tens of MB); larger ones are shuffled.
 SMALL = 1 << 18
+#: Bytes of an Arrow batch between Spark and a Python worker, about; a batch has one row at least.
+BATCH = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +63,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def in_arrow(rows: DataFrame, each, schema) -> DataFrame:
+    """rows.mapInArrow, in batches of BATCH bytes: both sides hold a batch whole, outside the heap. Lowers the session's setting if it is larger."""
+    conf = rows.sparkSession.conf
+    number, unit = re.fullmatch(r"\s*(-?\d+)([kmgtp]?)b?\s*", conf.get(_BATCH).lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= BATCH:
+        conf.set(_BATCH, f"{BATCH}b")
+    return rows.mapInArrow(each, schema)
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches cut into small ones, so that what a task makes of one stays small. At its end the worker, which other tasks use again, gives back what it holds unused."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def lower_ascii(text):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_arrow, slices
 from .learning import MEMORY, SIZE, Adam, Hashed, held_out, sample, sigmoid, sums
 
 #: Labelled documents that the model is fitted on at most.
@@ -135,7 +135,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "score", "n_sentences", "worst", "worst_score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInArrow(each, f"{id_col} long, score double, n_sentences long, worst string, worst_score double")
+    return in_arrow(rows, each, f"{id_col} long, score double, n_sentences long, worst string, worst_score double")
 
 
 def locate(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +152,7 @@ def locate(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str =
             yield pa.RecordBatch.from_arrays([ids, pa.array([h[1] for h in hits], pa.int32()), pa.array([h[2] for h in hits], pa.string()), pa.array(p[base])], names=[id_col, "place", "sentence", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInArrow(each, f"{id_col} long, place int, sentence string, score double")
+    return in_arrow(rows, each, f"{id_col} long, place int, sentence string, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
@@ -173,4 +173,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_co
             keep = noisy_or(p, np.fromiter(map(len, parts), np.int64, len(parts))) < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(each, docs.schema)
+    return in_arrow(docs, each, docs.schema)
