@@ -8,7 +8,7 @@ What the algorithm does depends on the pieces' lengths alone, so the plan is mad
 each length: at most ``capacity`` numbers, however large the corpus. A bin's pattern is repeated as often as
 the lengths it uses last, which gives the bins of the one-by-one algorithm. Each task that cuts texts numbers its pieces
 of each length; the numbers of pieces of each length that earlier tasks have are summed up and added, and each piece
-takes the slot of its number. So the ids are written once and needn't move again.
+takes the slot of its number. So the ids are written once and needn't move again, nor go through Python.
 
 Null texts count as empty and hold the end id alone; an empty table gives an empty result; rows that repeat
 an id are packed each; other columns are not read.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import freeze, slices, small
+from .common import freeze, in_arrow, slices, small
 from .subwords import crc, encoder
 
 
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 204
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids_of, pa.binary())] * with_ids, names=[id_col, "piece", "start", "length", "ids_crc32", "part", "nth"] + ["ids"] * with_ids)
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, f"{id_col} long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids)
+    return in_arrow(rows, cut, f"{id_col} long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -116,18 +116,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     sizes = freeze(sizes.select("length", "part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead")), "ahead")
     numbered = found.join(small(sizes), ["length", "part"]).withColumn("number", F.col("ahead") + F.col("nth")).drop("ahead", "part", "nth")
 
-    def place(batches):
-        for batch in batches:
-            length, number = batch.column("length").to_numpy(), batch.column("number").to_numpy()
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for value in np.unique(length):
-                at, own = length == value, by_length[int(value)]
-                slot = own[np.searchsorted(own[:, 0], number[at], "right") - 1]
-                sequence[at], offset[at] = slot[:, 1] + number[at] - slot[:, 0], slot[:, 2]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in out_names] + [pa.array(sequence), pa.array(offset)], names=[*out_names, "sequence_id", "offset"])
-
-    out_names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    return numbered.mapInArrow(place, f"{id_col} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long")
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(lengths: pa.Array, numbers: pa.Array) -> pa.Array:
+        length, number = lengths.to_numpy(zero_copy_only=False), numbers.to_numpy(zero_copy_only=False)
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        for value in np.unique(length):
+            at, own = length == value, by_length[int(value)]
+            slot = own[np.searchsorted(own[:, 0], number[at], "right") - 1]
+            sequence[at], offset[at] = slot[:, 1] + number[at] - slot[:, 0], slot[:, 2]
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], names=["sequence_id", "offset"])
+
+    kept = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    return numbered.select(*kept, place("length", "number").alias("place")).select(*kept, "place.sequence_id", "place.offset")
 
 
 def sequences(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
