@@ -1,18 +1,22 @@
 """Token ids in Arrow stream files: fixed-size-list batches of equal-length sequences and their masks.
 
-Documents are dealt into ranges of doc_id, and each range is one shard: a file of sequences and a file that
-tells where its documents start. A shard's ids run on over sequence borders; only its last sequence is padded,
-with mask false. All batches but the last hold the same number of sequences, so a sequence's batch follows
-from its number, and a memory-mapped shard gives ids and masks without copying them.
+Documents are dealt into ranges of doc_id, and a task writes its range as shards: a file of sequences and a file that
+tells where its documents start. A shard that has reached ``SHARD`` ids is closed at the end of its document, and the next
+one begins. A shard's ids run on over sequence borders; only its last sequence is padded, with mask false. All batches
+but the last hold the same number of sequences, so a sequence's batch follows from its number, and a memory-mapped shard
+gives ids and masks without copying them.
 
 A task that runs again writes new files; the manifest, which Spark commits, lists the files of those
-that counted. It has one row per shard.
+that counted. It has one row per shard and stays a table: what lies ahead of each shard is summed up over ranges of
+its rows. Files are read back a batch at a time, wherever they lie.
 
-Null texts count as empty; null ids come first; rows that repeat an id are all kept, side by side. An empty
+Null texts count as empty; null ids come first; rows that repeat an id (or have none) are all kept, side by side, in
+the order of their texts' hashes, by which ranges part them, too; only equal rows share a range. An empty
 table gives a manifest without documents. Other columns are not read.
 """
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import freeze, new_path, slices
-from .subwords import crc, encoder
+from .mixing import running
+from .subwords import encoder
 
-#: Ids in a sequence, and sequences in a batch.
-LENGTH, ROWS = 1024, 64
-MANIFEST = "shard int, tokens string, docs string, n_docs long, n_ids long"
+#: Ids in a sequence, sequences in a batch, and ids of a shard from which the next one begins.
+LENGTH, ROWS, SHARD = 1024, 64, 1 << 26
+#: task: a range's place among all; part: a shard's place in its range.
+MANIFEST = "task int, part int, tokens string, docs string, n_docs long, n_ids long"
 
 
 def open_fs(uri: str):
@@ -108,47 +114,76 @@ def _batches(path: str):
     return list(pa.ipc.open_stream(source))
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, shard_ids: int = SHARD) -> DataFrame:
     """Writes docs' token files into folder, a new one in the shared folder by default; the manifest."""
     folder = folder or new_path(docs.sparkSession, "tokens")
+    schema = pa.schema([("task", pa.int32()), ("part", pa.int32()), ("tokens", pa.string()), ("docs", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
-    def shard(batches):
+    def shards(batches):
         from pyspark import TaskContext
 
-        coder, out = encoder(tokenizer), None
+        coder, out, part = encoder(tokenizer), None, 0
         end = np.array([end_id], coder.dtype)
-        for batch in slices(batches):
-            out = out or ShardWriter(folder, coder.dtype)
-            texts = batch.column(1).to_pylist()
-            out.add(batch.column(0), [np.concatenate([x, end]) for x in coder.encode(texts)])
-        if out:
-            out.close()
-            row = {"shard": [TaskContext.get().partitionId()], "tokens": [f"file:{out.paths[0]}" if folder.startswith("file:") else _uri(folder, out.paths[0])], "docs": [f"file:{out.paths[1]}" if folder.startswith("file:") else _uri(folder, out.paths[1])], "n_docs": [out.n_docs], "n_ids": [out.n_ids]}
-            yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int32()), ("tokens", pa.string()), ("docs", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    rows = docs.select(F.col(id_col).cast("long"), F.coalesce(text_col, F.lit("")).alias("text"))
-    return freeze(rows.repartitionByRange(id_col).sortWithinPartitions(id_col).mapInArrow(shard, MANIFEST), "manifest")
+        def closed():
+            out.close()
+            paths = [f"file:{p}" if folder.startswith("file:") else f"{folder}/{p.rpartition('/')[2]}" for p in out.paths]
+            return pa.RecordBatch.from_pylist([{"task": TaskContext.get().partitionId(), "part": part, "tokens": paths[0], "docs": paths[1], "n_docs": out.n_docs, "n_ids": out.n_ids}], schema)
 
+        for batch in slices(batches):
+            ids = [np.concatenate([x, end]) for x in coder.encode(batch.column(1).to_pylist())]
+            at, ends = 0, np.cumsum([len(x) for x in ids])
+            while at < len(ids):
+                out = out or ShardWriter(folder, coder.dtype)
+                room = shard_ids - out.n_ids + (ends[at - 1] if at else 0)
+                upto = min(len(ids), int(np.searchsorted(ends, room)) + 1)  # with the document that fills it
+                out.add(batch.column(0).slice(at, upto - at), ids[at:upto])
+                at = upto
+                if out.n_ids >= shard_ids:
+                    yield closed()
+                    out, part = None, part + 1
+        if out:
+            yield closed()
 
-def _uri(folder: str, path: str) -> str:
-    return f"{folder}/{path.rpartition('/')[2]}"
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    dealt = rows.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash").select("id", "text")
+    return freeze(dealt.mapInArrow(shards, MANIFEST), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """From the files: doc_id, start, n_tokens, ids_crc32, with start over all shards. Collects a row per shard."""
-    spark, base, rows = manifest.sparkSession, 0, []
-    for r in sorted(manifest.collect(), key=lambda r: r["shard"]):
-        rows.append((r["tokens"], r["docs"], base))
-        base += r["n_ids"]
-    shards = spark.createDataFrame(rows, "tokens string, docs string, base long")
+    """From the files: doc_id, start, n_tokens, ids_crc32, with start over all shards."""
+    placed = running(manifest.select("task", "part", "tokens", "docs", "n_ids"), ["task", "part"], base="n_ids")
+    shards = placed.select("tokens", "docs", "base")
 
     def documents(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                shard = Shard(r["tokens"], r["docs"])
-                for index in shard.index:
-                    starts, lengths = index.column(1).to_numpy(), index.column(2).to_numpy()
-                    crcs = [crc(shard.ids(s, n)) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-                    yield pa.record_batch([index.column(0), pa.array(starts + r["base"]), index.column(2), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                digests = _digests(r["tokens"])
+                next(digests)
+                for index in _stream(r["docs"]):
+                    starts, lengths = index.column(1).to_numpy(), index.column(2)
+                    crcs = [digests.send(n) for n in lengths.to_pylist()]
+                    yield pa.record_batch([index.column(0), pa.array(starts + r["base"]), lengths, pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return shards.repartition(max(1, manifest.count())).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
-    return shards.repartition(max(1, len(rows))).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+def _stream(path: str):
+    """Batches of a file, one at a time."""
+    filesystem, at = open_fs(path)
+    with filesystem.open_input_stream(at) as source:
+        yield from pa.ipc.open_stream(source)
+
+
+def _digests(path: str):
+    """Is sent the lengths of a shard's documents in order and answers with the crc32 of each one's ids."""
+    held, value = np.zeros(0, "<u4"), None
+    batches = (b.column(0).flatten().to_numpy().astype("<u4") for b in _stream(path))
+    while True:
+        left = yield value
+        value = 0
+        while left:
+            if not len(held):
+                held = next(batches)
+            value = zlib.crc32(held[:left], value)
+            left, held = left - len(held[:left]), held[left:]

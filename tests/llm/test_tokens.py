@@ -57,6 +57,25 @@ def test_round_trip_through_files(spark):
     assert sum(shard.mask(last).to_pylist()) == (m["n_ids"] - 1) % token_files.LENGTH + 1
 
 
+def test_shards_end_at_their_size(spark):
+    rng = random.Random(2)
+    rows = [(i if i % 3 else None, " ".join(rng.choices(["alpha", "beta,", "Delta"], k=rng.randrange(200)))) for i in range(600)] + [(601, "long " * 9000), (602, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    manifest = token_files.write(docs, public(FILES[0]), shard_ids=2000)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = manifest.orderBy("task", "part").collect()
+    assert all(r["part"] == 0 or shards[k - 1]["n_ids"] >= 2000 for k, r in enumerate(shards)) and max(r["part"] for r in shards) > 2
+    assert sum(r["n_docs"] for r in shards) == len(rows)
+    got = token_files.read(manifest).orderBy("start").collect()
+    # rows without an id lie in more than one range
+    assert sum(any(i is None for b in token_files.Shard(r["tokens"], r["docs"]).index for i in b.column(0).to_pylist()) for r in shards if r["part"] == 0) > 1
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+    assert all(b["start"] - a["start"] == a["n_tokens"] for a, b in zip(got, got[1:], strict=False)) and got[0]["start"] == 0
+    want = sorted((i or 0, crc(np.array(whole(FILES[0], t) + [1]))) for i, t in rows)
+    assert sorted((r["doc_id"] or 0, r["ids_crc32"]) for r in got) == want
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.read(token_files.write(docs, public(FILES[0]))).count() == 0
