@@ -2,26 +2,29 @@
 
 Texts are lower-cased and cut into runs of letters and digits; shingles are five words in a row. Templates are
 grouped by length, and each group has windows that are long enough to hold any of its templates whole, wherever it
-begins: window = longest template + stride - 1. A window that holds a share of ``containment`` of a template's m
+begins: they start at multiples of a stride, and longest template + stride - 1 is rounded up to a multiple of it, so that
+the minima of a window are those of its blocks. A window that holds a share of ``containment`` of a template's m
 shingles has a Jaccard similarity of at least s / (window's shingles + m - s) with it, s = ceil(c*m), so the number of bands, of
 ``rows`` MinHashes each, follows from the probability ``sure`` with which such a window must collide. A template is
 reported where the share of its shingles, counted exactly in the window, reaches ``containment``.
 
 Hits of a template in overlapping windows are one hit, the best of them. Texts are scanned whole, whatever their
-length; templates are a fixed list that goes to each task. Null and blank texts, and texts of fewer than five words,
+length. Templates go to each task: the list below, or texts of a folder (:func:`read_templates`), of ``MOST`` characters
+in all at most. Null and blank texts, and texts of fewer than five words,
 hold nothing. Rows that repeat an id are each scanned; an empty table gives an empty result; other columns are not read.
 """
 
 import math
 import re
 import zlib
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Notices of public licenses.
+# Notices and texts of public licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -33,7 +36,28 @@ TEMPLATES = {
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "Apache-2.0-text": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "GPL-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "MIT-whole": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-3-Clause-whole": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "ISC-whole": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib-whole": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense-whole": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
+#: Characters of a folder's templates at most.
+MOST = 8 << 20
 _WORD = re.compile(r"[^\W_]+")
 WIDTH = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -76,7 +100,12 @@ class _Group:
         self.names, self.sets, self.rows = names, sets, rows
         longest, least = max(map(len, sets)), min(map(len, sets))
         self.stride = max(1, least // 2)
-        self.window = longest + self.stride - 1  # in shingles
+        self.blocks = -(-(longest + self.stride - 1) // self.stride)
+        self.window = self.blocks * self.stride  # in shingles
+        self.steps, span = [], 1
+        while span < self.blocks:
+            self.steps.append(min(span, self.blocks - span))
+            span += self.steps[-1]
         shared = [math.ceil(containment * len(s) - 1e-9) for s in sets]
         jaccard = min(c / (self.window + len(s) - c) for c, s in zip(shared, sets, strict=True))
         self.bands = math.ceil(math.log(1 - sure) / math.log(1 - min(jaccard**rows, 1 - 1e-9)))
@@ -95,23 +124,30 @@ class _Group:
         return key
 
     def candidates(self, h: np.ndarray):
-        """(start of window, place of template) of all pairs that share a band. The last window ends with the text."""
-        last = max(0, len(h) - self.window)
-        starts = np.unique(np.append(np.arange(0, last + 1, self.stride), last))
-        width = min(self.window, len(h))
+        """(start of window, place of template) of all pairs that share a band. Windows end with the text at the latest."""
+        starts = np.arange(0, len(h), self.stride)
         rows = np.empty((len(self.seeds), len(starts)), np.uint64)
         for i, seed in enumerate(self.seeds):
-            low, span = _order(h, seed), 1
-            while span * 2 <= width:  # minima over spans of a power of two, then two of them cover the window
-                low = np.minimum(low[:-span], low[span:])
-                span *= 2
-            rows[i] = np.minimum(low[starts], low[starts + width - span])
+            low = _order(h, seed)
+            if self.stride > 1:
+                low = np.minimum.reduceat(low, starts)  # of each block
+            for step in self.steps:  # of a window: its first blocks' minimum spreads over ever more of them
+                low[:-step] = np.minimum(low[:-step], low[step:])
+            rows[i] = low
         keys = self._bands(rows)
         for t, own in enumerate(self.keys):
             for k in np.flatnonzero((keys == own[:, None]).any(0)):
                 yield int(starts[k]), t
 
 
+def read_templates(spark: SparkSession, path: str, most: int = MOST) -> dict[str, str]:
+    """Templates of a folder of text files, named by their files without the ending. More than ``most`` characters are an error, as all tasks hold them."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value")
+    if (n := files.agg(F.sum(F.length("value"))).first()[0] or 0) > most:
+        raise ValueError(f"templates of {n} characters, {most} at most")
+    return {re.sub(r"\.txt$", "", unquote(r["name"])): r["value"] for r in files.collect()}
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, containment: float = 0.8, sure: float = 0.999, rows: int = 1):
         self.containment, self.memo = containment, _Words()

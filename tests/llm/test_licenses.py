@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from loreforge.llm import licenses
 
 
@@ -47,3 +49,35 @@ def test_places_and_odd_texts(spark):
     got = sorted((r["doc_id"] or 0, r["license"], r["first_word"], r["n_words"]) for r in out)
     assert got == [(0, "MIT", 0, 5), (1, "MIT", 0, 5), (1, "MIT", 2, 5), (1, "MIT", 8, 5), (5, "MIT", 300_000, 5)]
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_templates_of_a_folder(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = {f"License {n}": [rng.choice(words) for _ in range(n)] for n in (40, 160, 800, 3000)}
+    for name, t in texts.items():
+        (tmp_path / f"{name}.txt").write_text(" ".join(t))
+    templates = licenses.read_templates(spark, f"file://{tmp_path}")
+    assert templates == {name: " ".join(t) for name, t in texts.items()}
+    rows, want = [], {}
+    for i in range(80):  # each text somewhere, some with words replaced: near 0.9 of the shingles stay, and near 0.6
+        name, spoilt = rng.choice(list(texts)), i % 3
+        t = list(texts[name])
+        for at in range(3, len(t), 50 if spoilt == 1 else 12):
+            t[at] = "other" if spoilt else t[at]
+        before = [rng.choice(words) for _ in range(rng.randrange(400))]
+        rows.append((i, " ".join(before + t + [rng.choice(words) for _ in range(rng.randrange(400))])))
+        if spoilt < 2:
+            want[i] = (name, len(before), len(t))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {i: name for i, (name, _, _) in want.items()} and len(got) == len(want)
+    for r in got:
+        _, first, n = want[r["doc_id"]]
+        assert r["first_word"] >= first and r["first_word"] + r["n_words"] <= first + n and (r["doc_id"] % 3 or (r["first_word"], r["n_words"], r["containment"]) == (first, n, 1.0))
+    with pytest.raises(ValueError, match="at most"):
+        licenses.read_templates(spark, f"file://{tmp_path}", most=100)
+
+
+def test_a_whole_text_holds_its_notice():
+    found = {name for name, *_ in licenses.Scanner().scan("Copyright\n" + licenses.TEMPLATES["MIT-whole"].upper() + "\nint main() { return 0; }")}
+    assert found == {"MIT-whole", "MIT-text"}
