@@ -165,28 +165,28 @@ def contains_passage(documents: DataFrame, benchmark: DataFrame, n: int = 5) ->
     """item_id, doc_id: passages that documents hold verbatim.
 
     A passage's second to last but one word stand between spaces in any text that holds it, so the first n of
-    them (all, if they are fewer) are joined with documents' runs of as many words, then the text is searched. Passages of
-    one or two words are joined with all parts of texts that are as long. Null and empty passages are in no document.
+    them (all, if they are fewer) are its key. Passages of one or two words are keys themselves. One pass over the texts makes the runs of
+    words and parts of texts of all the keys' lengths; then the texts of the (passage, document) pairs found are searched.
+    Null and empty passages are in no document; rows that repeat an id count as one document.
     """
     items = with_array(benchmark.where("text <> ''").select("item_id", F.col("text").alias("passage")), "w", F.split("passage", " "))
-    items = items.withColumn("k", F.greatest(F.least(F.size("w") - 2, F.lit(n)), F.lit(0))).withColumn("n_chars", F.length("passage"))
-    docs, hits = documents.select("doc_id", "text"), []
-    for r in items.groupBy("k", F.when(F.col("k") == 0, F.col("n_chars")).alias("n_chars")).count().collect():  # n and the lengths of short passages at most
-        if r["k"]:
-            own = items.where(F.col("k") == r["k"]).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, r["k"]), " ")).alias("gram"))
-            keys = F.transform(shingles("w", r["k"]), lambda g: F.xxhash64(g))
-            keys = with_array(docs, "w", F.split("text", " ")).select("doc_id", F.explode(F.array_distinct(keys)).alias("gram"))
-            hits.append(keys.join(own, "gram").select("item_id", "doc_id", "passage"))
-        else:
-            m = r["n_chars"]
-            own = items.where((F.col("k") == 0) & (F.col("n_chars") == m)).select("item_id", "passage")
-            at = F.sequence(F.lit(1), F.greatest(F.length("text") - (m - 1), F.lit(1)))
-            parts = F.array_distinct(F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(m))))
-            hits.append(docs.select("doc_id", F.explode(parts).alias("passage")).join(own, "passage").select("item_id", "doc_id", "passage"))
-    if not hits:
-        return docs.join(items, F.lit(False)).select("item_id", "doc_id")
-    found = hits[0]
-    for more in hits[1:]:
-        found = found.union(more)
-    found = found.distinct()
+    items = items.withColumn("k", F.greatest(F.least(F.size("w") - 2, F.lit(n)), F.lit(0)))
+    items = items.withColumn("chars", F.when(F.col("k") == 0, F.length("passage")).otherwise(0))
+    key = F.when(F.col("k") == 0, F.col("passage")).otherwise(F.array_join(F.slice("w", F.lit(2), F.greatest("k", F.lit(1))), " "))
+    items = items.select("item_id", "passage", "k", "chars", F.xxhash64("k", "chars", key).alias("gram"))
+    lengths = sorted((r["k"], r["chars"]) for r in items.select("k", "chars").distinct().collect())  # n, and the lengths of short passages, at most
+    docs = documents.select("doc_id", "text")
+    keys = [_runs(k, chars) for k, chars in lengths] or [F.array().cast("array<bigint>")]
+    grams = with_array(docs.where("text is not null"), "w", F.split("text", " ")).select("doc_id", F.explode(F.array_distinct(F.concat(*keys))).alias("gram"))
+    found = grams.join(items.select("item_id", "passage", "gram"), "gram").select("item_id", "doc_id", "passage").distinct()
     return found.join(docs, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
+
+
+def _runs(k: int, chars: int):
+    """Hashes of a text's runs of k words, or of its parts of so many characters if k is 0."""
+    if k:
+        runs = shingles("w", k)
+    else:
+        at = F.sequence(F.lit(1), F.greatest(F.length("text") - (chars - 1), F.lit(1)))
+        runs = F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(chars)))
+    return F.transform(runs, lambda g: F.xxhash64(F.lit(k), F.lit(chars), g))
