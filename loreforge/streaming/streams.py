@@ -4,6 +4,7 @@
 """
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -26,59 +27,84 @@ def stream_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 h
     return rows.select("user_id", F.col("s.start").alias("start"), "n")
 
 
+#: Groups into which keys are dealt by their hash: a group's Python state holds all of its keys, so its calls are made per group and not per key.
+GROUPS = 256
+
+
 def _stateful(stream: DataFrame, processor: StatefulProcessor, returns: str, late: str) -> DataFrame:
-    """Runs processor on event time, grouped by key, over the stream's rows with ``us``, the microseconds of ts."""
+    """Runs processor on event time over the stream's rows with ``us``, the microseconds of ts, in ``GROUPS`` groups of whole keys."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers need it
-    rows = timed(stream, late).withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy("key").transformWithStateInPandas(processor, returns, "append", "eventTime")
+    rows = timed(stream, late).where("ts is not null").withColumn("us", F.unix_micros("ts")).withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)))
+    return rows.groupBy("group").transformWithStateInPandas(processor, returns, "append", "eventTime")
+
+
+def _keyed(stream: DataFrame, keys) -> DataFrame:
+    """stream with ``key``, the keys in one string: nulls are a key, too."""
+    return stream.withColumn("key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+
+
+def _wake(handle, ms: int | None) -> None:
+    """Leaves the group one timer, at ms, or none."""
+    for t in list(handle.listTimers()):
+        handle.deleteTimer(t)
+    if ms is not None:
+        handle.registerTimer(ms)
 
 
 def _micros(span: str) -> int:
     return round(pd.Timedelta(span).total_seconds() * 1e6)
 
 
+def _load(state, columns: list[str]) -> pd.DataFrame:
+    """A table that :func:`_store` has put into a value state: one value a group, so a group's rows cost one call."""
+    return pa.ipc.open_stream(state.get()[0]).read_pandas() if state.exists() else pd.DataFrame({c: pd.Series(dtype=object if c == "key" else "int64") for c in columns})
+
+
+def _store(state, rows: pd.DataFrame) -> None:
+    if not len(rows):
+        return state.clear()
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    state.update((sink.getvalue().to_pybytes(),))
+
+
 class _Earliest(StatefulProcessor):
-    """Keeps a key's events until the watermark has passed them, then lets the survivors out in order of time."""
+    """Keeps events of its keys until the watermark has passed them, then lets each key's survivors out in order of time."""
 
     def __init__(self, span: int):
         self.span = span
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, event_id long")
-        self.last = handle.getValueState("last", "us long")
+        self.waiting = handle.getValueState("waiting", "rows binary")
+        self.last = handle.getValueState("last", "rows binary")
 
-    def _wait(self, rows) -> None:
+    def _wait(self, rows: pd.DataFrame) -> None:
         """Holds rows; wakes up when the watermark has passed the first one."""
-        rows = sorted(rows)
-        self.waiting.put(rows) if rows else self.waiting.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if rows:
-            self.handle.registerTimer(rows[0][0] // 1000 + 1)
-
-    def _held(self) -> list:
-        return [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        _store(self.waiting, rows)
+        _wake(self.handle, int(rows["us"].min()) // 1000 + 1 if len(rows) else None)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [(int(t), int(i)) for f in rows for t, i in zip(f["us"], f["event_id"], strict=True)]
-        self._wait(self._held() + new)
+        new = [f[["key", "us", "event_id"]] for f in rows]
+        self._wait(pd.concat([_load(self.waiting, ["key", "us", "event_id"]), *new], ignore_index=True))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed, held, out = timerValues.getCurrentWatermarkInMs(), self._held(), []
-        last = self.last.get()[0] if self.last.exists() else None
-        for us, event in sorted(r for r in held if r[0] // 1000 < passed):
-            if last is None or us > last + self.span:
-                out.append((event, us))
-                last = us
-        if last is not None and (last + self.span) // 1000 >= passed:
-            self.last.update((last,))
-        else:
-            self.last.clear()  # whatever comes now is later than that
-        self._wait([r for r in held if r[0] // 1000 >= passed])
-        if out:
-            yield pd.DataFrame({"key": [key[0]] * len(out), "event_id": [e for e, _ in out], "us": [u for _, u in out]})
+        passed, held, last = timerValues.getCurrentWatermarkInMs(), _load(self.waiting, ["key", "us", "event_id"]), _load(self.last, ["key", "us"])
+        due = held["us"] // 1000 < passed
+        now = held[due].sort_values(["key", "us", "event_id"], ignore_index=True)
+        until, stays = {k: us + self.span for k, us in zip(last["key"], last["us"].tolist(), strict=True)}, []
+        for k, us in zip(now["key"], now["us"].tolist(), strict=True):
+            stay = k not in until or us > until[k]
+            if stay:
+                until[k] = us + self.span
+            stays.append(stay)
+        near = [(k, us - self.span) for k, us in until.items() if us // 1000 >= passed]  # whatever comes now is later than the others reach
+        _store(self.last, pd.DataFrame(near, columns=["key", "us"]))
+        self._wait(held[~due])
+        if any(stays):
+            yield now.loc[stays, ["key", "event_id", "us"]]
 
     def close(self) -> None:
         pass
@@ -87,10 +113,9 @@ class _Earliest(StatefulProcessor):
 def stream_dedup(stream: DataFrame, keys=("user_id", "event_type"), late: str = "1 hour") -> DataFrame:
     """event_id, *keys, ts. Of the events of each key the earliest one survives (of equal times the smallest event_id) and drops those up to ``late`` after
     it; the first one later than that survives next, and so on. An event is decided when the watermark has passed it, so the survivors don't
-    depend on how the stream is cut into batches; until then a key's events are its state."""
-    named = stream.withColumn("key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    depend on how the stream is cut into batches; until then they are the state of the key's group."""
     kinds = ", ".join(f"{k} {dict(stream.dtypes)[k]}" for k in keys)
-    out = _stateful(named, _Earliest(_micros(late)), "key string, event_id long, us long", late)
+    out = _stateful(_keyed(stream, keys), _Earliest(_micros(late)), "key string, event_id long, us long", late)
     return out.withColumn("k", F.from_json("key", kinds)).select("event_id", *[F.col(f"k.{k}").alias(k) for k in keys], F.timestamp_micros("us").alias("ts"))
 
 
@@ -102,42 +127,34 @@ def stream_view_purchase(stream: DataFrame, span: str = "6 hours", late: str = "
 
 
 class _Spells(StatefulProcessor):
-    """Keeps a user's spells of use, and lets one go when its user has been silent for ``quiet``."""
+    """Keeps its users' spells of use, and lets one go when its user has been silent for ``quiet``."""
 
     def __init__(self, quiet: int):
         self.quiet = quiet
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.spells = handle.getListState("spells", "first long, last long, n long, value double")
-
-    def _hold(self, spells: list) -> None:
-        self.spells.put(spells) if spells else self.spells.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if spells:
-            self.handle.registerTimer((min(s[1] for s in spells) + self.quiet) // 1000 + 1)
+        self.spells = handle.getValueState("spells", "rows binary")
 
-    def _held(self) -> list:
-        return [tuple(r) for r in self.spells.get()] if self.spells.exists() else []
+    def _hold(self, spells: pd.DataFrame) -> None:
+        _store(self.spells, spells)
+        _wake(self.handle, (int(spells["last"].min()) + self.quiet) // 1000 + 1 if len(spells) else None)
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [(int(t), int(t), 1, 0.0 if pd.isna(v) else float(v)) for f in rows for t, v in zip(f["us"], f["value"], strict=True)]
-        out: list = []
-        for s in sorted(self._held() + new):
-            if out and s[0] <= out[-1][1] + self.quiet:
-                out[-1] = (out[-1][0], max(out[-1][1], s[1]), out[-1][2] + s[2], out[-1][3] + s[3])
-            else:
-                out.append(s)
-        self._hold(out)
+        new = [pd.DataFrame({"key": f["key"], "first": f["us"], "last": f["us"], "n": 1, "value": f["value"].astype(float).fillna(0.0)}) for f in rows]
+        held = [_load(self.spells, [])] if self.spells.exists() else []
+        all_ = pd.concat([*held, *new], ignore_index=True).sort_values(["key", "first", "last", "n", "value"], ignore_index=True)
+        reach = all_.groupby("key")["last"].cummax().shift() + self.quiet
+        begins = (all_["key"] != all_["key"].shift()) | (all_["first"] > reach)
+        self._hold(all_.groupby(begins.cumsum(), as_index=False).agg({"key": "first", "first": "min", "last": "max", "n": "sum", "value": "sum"}))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        passed, held = timerValues.getCurrentWatermarkInMs(), self._held()
-        done = [s for s in held if (s[1] + self.quiet) // 1000 < passed]
-        self._hold([s for s in held if (s[1] + self.quiet) // 1000 >= passed])
-        if done:
-            yield pd.DataFrame({"key": [key[0]] * len(done), "first": [s[0] for s in done], "last": [s[1] for s in done], "n": [s[2] for s in done], "value": [round(s[3], 4) for s in done]})
+        held = _load(self.spells, ["key", "first", "last", "n", "value"])
+        done = (held["last"] + self.quiet) // 1000 < timerValues.getCurrentWatermarkInMs()
+        self._hold(held[~done])
+        if done.any():
+            yield held[done].round({"value": 4})
 
     def close(self) -> None:
         pass
@@ -146,8 +163,9 @@ class _Spells(StatefulProcessor):
 def stream_user_state(stream: DataFrame, quiet: str = "1 day", late: str = "1 hour") -> DataFrame:
     """user_id, first, last, n, value: the totals of each spell of a user's events with no pause of more than ``quiet``. It comes out, and its state goes, when
     the watermark has passed the end of that pause. Null values count as none."""
-    out = _stateful(stream.withColumn("key", F.col("user_id")), _Spells(_micros(quiet)), "key long, first long, last long, n long, value double", late)
-    return out.select(F.col("key").alias("user_id"), F.timestamp_micros("first").alias("first"), F.timestamp_micros("last").alias("last"), "n", "value")
+    out = _stateful(_keyed(stream, ["user_id"]), _Spells(_micros(quiet)), "key string, first long, last long, n long, value double", late)
+    user = F.from_json("key", "user_id long")["user_id"].alias("user_id")
+    return out.select(user, F.timestamp_micros("first").alias("first"), F.timestamp_micros("last").alias("last"), "n", "value")
 
 
 def replay(rows: DataFrame, order: str = "ts", files: int = 4) -> DataFrame:

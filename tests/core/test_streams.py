@@ -139,3 +139,12 @@ def test_an_index_of_few_segments(spark, tmp_path):
     spark.createDataFrame([(1, "new")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(place)
     again = {tuple(r) for r in streams.stream_index(source(), path).collect()}
     assert again == {r for r in want if r[1] != 1} | {("new", 1, 1)}
+
+
+def test_calls_of_state_dont_grow_with_keys(spark, tmp_path):
+    rows = [(i, START + timedelta(minutes=i % 300), i, "view", 1.0, None) for i in range(3000)]
+    out = streams.stream_dedup(stream(spark, f"file://{tmp_path}/events", [rows]))
+    query = out.writeStream.outputMode("append").format("memory").queryName("firsts").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/state").start()
+    query.awaitTermination()
+    assert {r["event_id"] for r in spark.table("firsts").collect()} == {r[0] for r in rows if r[1] < passed(rows)}
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 4 * streams.GROUPS  # a value or two and a timer a group, not a key
