@@ -22,4 +22,21 @@ def test_similar_documents_in_blocks(spark, monkeypatch):
         best = sorted((-s, i) for (a, i), s in sums.items() if a == q)[:3]
         want |= {(q, i, -s, k) for k, (s, i) in enumerate(best, 1)}
     assert {(r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in out.collect()} == want
-    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # pairs are made and summed in blocks, not joined and shuffled
+    assert "Join Inner" not in out._jdf.queryExecution().optimizedPlan().toString()  # pairs are made and summed in blocks, not joined and shuffled
+
+
+def test_tokens_are_counted_by_document(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a c"), (2, "B"), (None, "b"), (3, None)], "doc_id long, text string")
+    for made, want in ((index.counts(docs), {("a", 1, 3), ("b", 1, 1), ("c", 1, 1), ("b", 2, 1), ("b", None, 1)}), (index.postings(docs).drop("positions"), {("a", 1, 3), ("b", 1, 1), ("c", 1, 1), ("b", 2, 1), ("b", None, 1)})):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(doc_id") == plan.count("Exchange ") == 1  # texts move, tokens don't
+        assert {(r["term"], r["doc_id"], r["tf"]) for r in made.collect()} == want
+
+
+def test_weights_of_rare_and_frequent_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a w{i} v{i // 2}" + " b" * (i % 3)) for i in range(40)], "doc_id long, text string")
+    rows = lambda: {tuple(r) for r in search.top_terms(docs).collect()}
+    want = rows()
+    for most in (0, 1, 3):
+        monkeypatch.setattr(search, "FREQUENT", most, raising=False)
+        assert rows() == want
