@@ -40,3 +40,13 @@ def test_weights_of_rare_and_frequent_terms(spark, monkeypatch):
     for most in (0, 1, 3):
         monkeypatch.setattr(search, "FREQUENT", most, raising=False)
         assert rows() == want
+
+
+def test_lists_of_postings_are_shuffled(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ["a", "b", "c"], i * 7) for i in range(500)], "doc_id long, w array<string>, hash long").selectExpr("doc_id", "3L AS dl", "hash", "w").coalesce(2)
+    lists = index._packed(docs, {"a": 2})
+    assert lists.count() == 2 * 4  # tasks times terms and shards
+    rows = index._unpacked(lists.selectExpr("0L AS slot", "*")).collect()
+    assert {(r["term"], r["doc_id"], r["tf"], r["dl"], *r["positions"]) for r in rows} == {(t, i, 1, 3, k) for i in range(500) for k, t in enumerate("abc")}
+    monkeypatch.setattr(index, "PACK", 1)
+    assert {tuple(map(str, r)) for r in index._unpacked(index._packed(docs, {}).selectExpr("0L AS slot", "*")).collect()} == {tuple(map(str, r)) for r in rows}
