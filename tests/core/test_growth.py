@@ -42,6 +42,20 @@ def test_weights_of_rare_and_frequent_terms(spark, monkeypatch):
         assert rows() == want
 
 
+def test_queries_meet_documents_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    stored = index.write_index(spark.createDataFrame([(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(9)))) for i in range(60)], "doc_id long, text string"), buckets=3)
+    asked = spark.createDataFrame([(q, " ".join(rng.sample("abcdefg", 3))) for q in range(12)] + [(12, None), (None, "a f"), (3, "a b")], "query_id long, text string")
+    whole = {fn: {tuple(r) for r in fn(stored, asked, k=4).collect()} for fn in (search.bm25, search.tfidf)}
+    monkeypatch.setattr(search, "POSTINGS", 20, raising=False)
+    monkeypatch.setattr(search, "ASKED", 9, raising=False)
+    for fn, want in whole.items():
+        out = fn(stored, asked, k=4)
+        assert {tuple(r) for r in out.collect()} == want and len(want) == 13 * 4
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Aggregate [query_id" not in plan  # pairs are scored in blocks, not shuffled
+
+
 def test_lists_of_postings_are_shuffled(spark, monkeypatch):
     docs = spark.createDataFrame([(i, ["a", "b", "c"], i * 7) for i in range(500)], "doc_id long, w array<string>, hash long").selectExpr("doc_id", "3L AS dl", "hash", "w").coalesce(2)
     lists = index._packed(docs, {"a": 2})
