@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import shingles, tokens, with_array
 from ..sources.tables import keep
 
+#: Cells into which shingles fall by their hashes, for the order of rare ones.
+CELLS = 1 << 18
+
 
 def exact_duplicates(documents: DataFrame) -> DataFrame:
     """digest, n_docs, first_id: texts that several documents have. Texts are told apart by two digests, of 128 and of 256 bits."""
@@ -54,19 +57,52 @@ def hashed_sets(documents: DataFrame, n: int = 5) -> DataFrame:
     return keep(shingle_sets(documents, n).select("class_id", grams.alias("grams")).withColumn("n", F.size("grams")), "sets")
 
 
+def _cells(sets: DataFrame) -> np.ndarray:
+    """How many of the sets' shingles fall into each of ``CELLS`` cells. Each task gives its counts once."""
+
+    def counted(batches):
+        own = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            own += np.bincount(batch.column(0).flatten().to_numpy() & (CELLS - 1), minlength=CELLS)
+        for k, part in enumerate(np.array_split(own, 16)):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tobytes()], pa.binary())], names=["k", "counts"])
+
+    def added(table: pa.Table) -> pa.Table:
+        return pa.table({"k": table.column("k").slice(0, 1), "counts": pa.array([sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist()).tobytes()], pa.binary())})
+
+    schema = "k long, counts binary"
+    rows = sets.select("grams").mapInArrow(counted, schema).groupBy("k").applyInArrow(added, schema).collect()  # 16 rows
+    return np.concatenate([np.zeros(CELLS, np.int64)] if not rows else [np.frombuffer(r["counts"], np.int64) for r in sorted(rows)])
+
+
 def rare_grams(sets: DataFrame, t: float) -> DataFrame:
-    """class_id, n, gram, kept: of each set the size - ceil(t * size) + 1 rarest shingles that others have, too. Two sets of a Jaccard similarity of t or more
-    share one of them, so shingles that many documents share join nothing."""
-    each = sets.select("class_id", "n", F.explode("grams").alias("gram"))
-    df = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rare = Window.partitionBy("class_id").orderBy("df", "gram")
-    all_df = each.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    prefix = all_df.withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1)
-    return keep(prefix.where("df > 1").select("class_id", "n", "gram"), "prefix")
+    """class_id, n, gram, kept: of each set those of the size - ceil(t * size) + 1 rarest shingles that are so in others, too. Two sets of a Jaccard similarity of t or
+    more share one of them in any order that holds for all sets. The order is by how many shingles fall into a shingle's cell, so shingles that many documents
+    share join nothing, and it is known without moving any shingle: only the rarest ones are shuffled."""
+    cells = sets.sparkSession.sparkContext.broadcast(_cells(sets))
+
+    def each(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                grams, n = part.column("grams").flatten().to_numpy(), part.column("n").to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((grams, cells.value[grams & (CELLS - 1)], row))
+                first = n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
+                chosen = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) < first[row]
+                row = pa.array(row[chosen])  # sets stay in order
+                yield pa.RecordBatch.from_arrays([part.column("class_id").take(row), part.column("n").take(row), pa.array(grams[order[chosen]])], names=["class_id", "n", "gram"])
+
+    prefix = keep(sets.select("class_id", "n", "grams").mapInArrow(each, "class_id long, n int, gram long"), "rarest")
+    often = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    return keep(prefix.join(often, "gram", "left_semi").select("class_id", "n", "gram"), "prefix")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """a, b, score of those pairs (a, b) whose sets are that similar."""
+    """a, b, score of those pairs (a, b) whose sets are that similar. Only sets that are in a pair are moved."""
+    pairs = keep(pairs, "candidates")
+    wanted = keep(pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct(), "wanted")
+    sets = sets.join(wanted, "class_id", "left_semi")
     left, right = sets.select(F.col("class_id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("class_id").alias("b"), F.col("grams").alias("y"))
     found = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
     score = F.col("both") / (F.size("x") + F.size("y") - F.col("both"))

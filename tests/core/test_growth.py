@@ -4,7 +4,7 @@ import random
 import re
 from collections import defaultdict
 
-from loreforge.operators import index, search
+from loreforge.operators import duplicates, index, search
 
 
 def test_similar_documents_in_blocks(spark, monkeypatch):
@@ -65,3 +65,15 @@ def test_lists_of_postings_are_shuffled(spark, monkeypatch):
     assert {(r["term"], r["doc_id"], r["tf"], r["dl"], *r["positions"]) for r in rows} == {(t, i, 1, 3, k) for i in range(500) for k, t in enumerate("abc")}
     monkeypatch.setattr(index, "PACK", 1)
     assert {tuple(map(str, r)) for r in index._unpacked(index._packed(docs, {}).selectExpr("0L AS slot", "*")).collect()} == {tuple(map(str, r)) for r in rows}
+
+
+def test_rarest_shingles_alone_are_shuffled(spark, monkeypatch):
+    rng, kept, keep = random.Random(8), {}, duplicates.keep
+    base = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{base} " + " ".join(f"x{rng.randrange(10**9)}" for _ in range(64 if i > 1 else 1))) for i in range(30)], "doc_id long, text string")
+    monkeypatch.setattr(duplicates, "keep", lambda df, what="kept": kept.setdefault(what, []).append(keep(df, what)) or kept[what][-1])
+    assert {(r["a"], r["b"]) for r in duplicates.near_duplicates(docs).collect()} == {(0, 1)}
+    sizes = [r["n"] for r in kept["sets"][0].collect()]
+    assert sorted(sizes) == [37, 37] + [100] * 28
+    assert kept["rarest"][0].count() == sum(n - -(-n * 4 // 5) + 1 for n in sizes)  # a fifth of all, found where the sets are
+    assert kept["wanted"][0].count() == 2  # no other sets are moved to be compared
