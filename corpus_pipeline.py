@@ -22,7 +22,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a five-word similarity of 0.8 or more the one with the smallest id stays."""
+    """Of each group of documents linked by a five-word similarity of 0.8 or more the one with the smallest id stays. Links are looked up by SimHash
+    fingerprints first, then, of documents that these leave apart, by MinHash and rare shingles; each is checked on whole sets of shingles."""
     return similar.drop_copies(docs, width=5, t=0.8)
 
 

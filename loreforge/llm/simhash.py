@@ -46,9 +46,14 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     starts = ends - [len(w) + 1 for w in words]
     n = max(1, len(words) - width + 1)
     bounds = zip(starts[:n].tolist(), (ends[min(width, len(words)) - 1 :] - 1).tolist(), strict=True)
-    h = np.array([digest(line[a:b], 42) for a, b in bounds], "<u8").view(np.uint8).reshape(-1, 8)
+    return of_hashes(np.array([digest(line[a:b], 42) for a, b in bounds], "<u8"))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    h = hashes.view(np.uint8).reshape(-1, 8)
     set_ = np.concatenate([np.bincount(h[:, k], minlength=256) @ _BIT_OF_BYTE for k in range(8)])
-    return int(np.packbits(set_ * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(set_ * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -163,6 +168,15 @@ def groups(prints: DataFrame, id_col: str = "doc_id", bits: int = 4) -> DataFram
         raise ValueError("bits must be from 0 to 4")
     prints = freeze(prints, "prints")
     unique = freeze(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "unique")
+    linked = freeze(components(near_prints(unique, bits)), "linked")
+    first = linked.join(unique, linked["node"] == unique["fp"]).groupBy("component").agg(F.min("first_id").alias("least"))
+    linked = freeze(linked.join(first, "component").select(F.col("node").alias("fp"), "least"), "least")
+    of_print = freeze(unique.join(linked, "fp", "left").select("fp", F.coalesce("least", "first_id").alias("component_id")), "of_print")
+    return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
+
+
+def near_prints(unique: DataFrame, bits: int = 4) -> DataFrame:
+    """a, b: links of different fingerprints (fp, each once) within so many bits, a spanning forest of each shard's."""
     depth = min(BITS, max(0, math.ceil(math.log2(max(1, unique.count()) / LEAF))))
 
     def route(batches):
@@ -178,12 +192,7 @@ def groups(prints: DataFrame, id_col: str = "doc_id", bits: int = 4) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(np.concatenate([fp, np.repeat(fp, n)])), pa.array(guest)], names=["shard", "fp", "guest"])
 
     routed = unique.select("fp").mapInArrow(route, "shard int, fp long, guest boolean")
-    edges = routed.groupBy("shard").applyInArrow(_forest(bits), "a long, b long")
-    linked = freeze(components(edges), "linked")
-    first = linked.join(unique, linked["node"] == unique["fp"]).groupBy("component").agg(F.min("first_id").alias("least"))
-    linked = freeze(linked.join(first, "component").select(F.col("node").alias("fp"), "least"), "least")
-    of_print = freeze(unique.join(linked, "fp", "left").select("fp", F.coalesce("least", "first_id").alias("component_id")), "of_print")
-    return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
+    return routed.groupBy("shard").applyInArrow(_forest(bits), "a long, b long")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 4) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Near copies by shingles: groups of texts linked by a Jaccard similarity of 0.8 or more, for the pipeline.
+"""Near copies by fingerprints and shingles: groups of texts linked by a Jaccard similarity of 0.8 or more, for the pipeline.
 
-A text's shingles are its runs of five words, lower-cased (A-Z); a shorter text is one shingle. Fingerprints of 64 bits
-don't find such pairs: at 0.8 they differ in about ten bits, and no split of 64 bits that reaches so far rules much out.
-So pairs are looked up by MinHash: ``BANDS`` keys of ``ROWS`` minima each, which a pair at 0.8 shares none of with a
+A text's shingles are its runs of five words, lower-cased (A-Z); a shorter text is one shingle. Its fingerprint is the SimHash of this set.
+Texts whose fingerprints differ in ``BITS`` bits at most are looked up first, by :mod:`simhash`'s trees, and those whose whole sets are similar
+are linked. At 0.8 fingerprints differ in about ten bits, and no split of 64 bits that reaches so far rules much out. So what they leave
+apart is looked up by MinHash: ``BANDS`` keys of ``ROWS`` minima each, which a pair at 0.8 shares none of with a
 probability of (1 - 0.8**5)**32, about 3 in a million, and less above. Pairs found whose minima's single bits differ in more than ``far(t)`` of
-128 places, which a pair at 0.8 does with a probability of about 6 in a million, are not near; all others are verified on their whole sets.
+128 places, which a pair at 0.8 does with a probability of about 6 in a million, are not near; all others, but those within a group that fingerprints
+have made, are verified on their whole sets.
 
 Texts with equal sets are folded first. Of the texts with one key, pairs with the smallest id come first. Texts that then have
 a key in common with texts of other groups are looked up by their rarest shingles: two sets of a similarity of t share one of the first n - ceil(t n) + 1
@@ -23,7 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import freeze, fresh, in_arrow, slices, small
 from .components import components
+from .simhash import near_prints, of_hashes
 
+#: Bits in which fingerprints that are looked up differ at most.
+BITS = 4
 BANDS, ROWS = 32, 5
 #: Texts of the largest key from which pairs start in the second round, about; each later round has GROWTH times as many.
 PIVOTS, GROWTH = 64, 8
@@ -66,7 +71,7 @@ def keys(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, n (shingles), h1 and h2 (hashes of the set), b1 and b2 (bits of its minima), keys."""
+    """id, n (shingles), fp (the set's fingerprint), h1 and h2 (hashes of the set), b1 and b2 (bits of its minima), keys."""
 
     def each(batches):
         import xxhash
@@ -77,11 +82,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 made = [keys(s) for s in sets]
                 bits = np.array([b for _, b in made])
                 whole = np.array([[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64).view(np.int64)
+                fps = np.array([of_hashes(s) for s in sets], np.uint64).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([k for k, _ in made])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), lists], names=["id", "n", "h1", "h2", "b1", "b2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), lists], names=["id", "n", "fp", "h1", "h2", "b1", "b2", "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary"))
-    return in_arrow(rows, each, "id long, n int, h1 long, h2 long, b1 long, b2 long, keys array<long>")
+    return in_arrow(rows, each, "id long, n int, fp long, h1 long, h2 long, b1 long, b2 long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -101,18 +107,20 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     all_ = freeze(sketches(docs, id_col, text_col, width), "sketches")
     least = freeze(all_.groupBy("h1", "h2").agg(F.min("id").alias("first")), "sets").select(F.col("first").alias("id"))
     same = all_.select("id").join(least, "id", "left_anti")
+    alike = freeze(by_prints(all_.join(least, "id", "left_semi").select("id", "n", "fp"), t), "alike")
     each = all_.join(least, "id", "left_semi").select(F.explode("keys").alias("key"), "id", "n", "b1", "b2")
     shared = each.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = freeze(each.join(shared, "key").withColumn("place", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40)) / (1 << 40)), "members")
-    largest = members.agg(F.max("size")).first()[0]
-    if largest is None:
+    if members.isEmpty() and alike.isEmpty():
         return same
-    wanted = freeze(members.select(F.col("id").alias("wanted")).distinct(), "wanted")
+    wanted = members.select("id").union(alike.select("a")).union(alike.select("b"))
+    wanted = freeze(wanted.select(F.col("id").alias("wanted")).distinct(), "wanted")
     texts = docs.select(id_col, text_col)
     sets = freeze(sets_of(texts.join(small(wanted), texts[id_col] == F.col("wanted"), "left_semi"), id_col, text_col, width), "grams")
     first = members.where(F.col("id") == F.col("least")).select(F.col("key").alias("same"), F.col("id").alias("a"), F.col("n").alias("an"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
     pairs = first.join(members, (F.col("key") == F.col("same")) & (F.col("id") > F.col("a")) & _alike(t)).select("a", F.col("id").alias("b")).distinct()
-    labels = _more(None, _near(freeze(pairs, "pairs"), sets, t))
+    labels = _more(None, _near(alike, sets, t))
+    labels = _more(labels, _near(freeze(_apart(pairs, labels), "pairs"), sets, t))
     open_ = _open(members, labels).select("id").distinct()
     rare = freeze(prefixes(sets.join(open_, "id", "left_semi"), t), "prefixes")
     rare = freeze(rare.join(all_.select("id", "b1", "b2"), "id").withColumn("place", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40)) / (1 << 40)), "rare")
@@ -133,6 +141,28 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return same if labels is None else same.union(labels.where("node <> component").select(F.col("node").alias("id")))
 
 
+def by_prints(prints: DataFrame, t: float) -> DataFrame:
+    """a, b: of texts (id, n, fp) whose fingerprints are linked, by one or by several steps of ``BITS`` bits, pairs that join them all, if the sizes allow a similarity of t.
+    Texts with one fingerprint are paired with the smallest id of them."""
+    prints = freeze(prints, "prints")
+    first = freeze(prints.groupBy("fp").agg(F.min_by(F.struct("id", "n"), "id").alias("first")), "first")
+    of = lambda fp, id_, n: first.select(F.col("fp").alias(fp), F.col("first.id").alias(id_), F.col("first.n").alias(n))
+    copies_ = prints.join(of("fp", "a", "an"), "fp").where("id <> a").select("a", "an", F.col("id").alias("b"), F.col("n").alias("bn"))
+    edges = freeze(near_prints(first.select("fp"), BITS).select(F.col("a").alias("f"), F.col("b").alias("g")).distinct(), "near_prints")
+    others = edges.join(of("f", "a", "an"), "f").join(of("g", "b", "bn"), "g").select("a", "an", "b", "bn")
+    pairs = copies_.union(others).where(F.least("an", "bn") >= F.greatest("an", "bn") * t - 1e-9)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs a, b whose texts are in different groups."""
+    if labels is None:
+        return pairs
+    of = lambda id_, label: labels.select(F.col("node").alias(id_), F.col("component").alias(label))
+    both = pairs.join(of("a", "al"), "a", "left").join(of("b", "bl"), "b", "left")
+    return both.where(F.col("al").isNull() | F.col("bl").isNull() | (F.col("al") != F.col("bl"))).select("a", "b")
+
+
 def _alike(t: float):
     """Of n, b1, b2 against an, a1, a2: whether the sizes and the minima's bits allow a similarity of t."""
     bits = F.bit_count(F.col("b1").bitwiseXOR(F.col("a1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("a2")))

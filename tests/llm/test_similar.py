@@ -81,3 +81,26 @@ def test_a_family_with_a_template_makes_few_pairs(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in out.collect()) == kept(texts) == list(range(n))
     print(counts)
     assert sum(counts) < 16 * n  # of 45150
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """Pairs from fingerprints join the texts that brute force over all fingerprints joins, and MinHash is asked only about what they leave apart."""
+    rng, rows = random.Random(6), []
+    word = lambda: f"w{rng.randrange(100_000)}"
+    for _ in range(8):
+        base = [word() for _ in range(400)]
+        rows += [base + [word()] * (k % 3) + [word() for _ in range(k // 3)] for k in range(9)]
+    rows += [[word() for _ in range(30)] for _ in range(40)]
+    texts = {i: " ".join(w) for i, w in enumerate(rows)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    prints = {r["id"]: r["fp"] & 2**64 - 1 for r in similar.sketches(docs, "doc_id", "text", 5).collect()}
+    for i, fp in prints.items():
+        h = [int(x) for x in similar.shingles(texts[i].encode())]
+        assert fp == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+    left = closure(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4])
+    found = similar.by_prints(similar.sketches(docs, "doc_id", "text", 5).select("id", "n", "fp"), 0.8).collect()
+    assert closure(prints, found) == left and sum(left[i] != i for i in left) >= 50
+    asked, near_ = [], similar._near
+    monkeypatch.setattr(similar, "_near", lambda pairs, sets, t: asked.append([tuple(r) for r in pairs.collect()]) or near_(pairs, sets, t))
+    assert sorted(r["doc_id"] for r in similar.drop_copies(docs).collect()) == kept(texts)
+    assert set(asked[0]) == {tuple(r) for r in found} and all(left[a] != left[b] for more in asked[1:] for a, b in more)
