@@ -13,12 +13,12 @@ A text is cut into windows of ``STRIDE`` ids, each with the ``CONTEXT`` ids ahea
 scored again: each id is scored once. Windows of many texts go through masked attention together, those that a text's
 end cuts short too: what is missing is padding, which is never a target.
 
-Training is spread over all training texts' partitions, in rounds. In each round a task draws one of ``SPARSE`` of all
-windows of its texts anew, enough for ``STEPS`` gradient steps at least, goes on from the common weights and Adam's
-means by steps on them, and the tasks' weights and means are averaged. The steps' size falls from round to round. Ahead of
-its steps a task takes the loss of the common weights on windows of the texts that are kept for this (one of ``KEPT``,
-never learned from); rounds end when that loss no longer falls by ``GAIN``. So tasks and windows grow with the corpus, and a
-small one sees its texts many times.
+Training is spread over all training texts' partitions, in rounds. Each window has its turn, one of ``TURNS`` rounds (fewer, if a task would have less
+than ``STEPS`` small steps to make); in a round a task goes on from the common weights and Adam's means by steps on all of its windows whose turn it is,
+and the tasks' weights and means are averaged. The steps' size falls from round to round. Ahead of its steps a task takes the loss of the common
+weights on windows of the texts that are kept for this (one of ``KEPT``). A round that raised it is made again with smaller steps. Once every other window
+has been learned from, and, where turns are fewer than ``TURNS``, that loss no longer falls by ``GAIN``, a last round learns from the kept texts, too.
+So each window of each training text gives a gradient, once in a large corpus and several times in a small one.
 
 Word counts cover all training texts. The most frequent words, ``FREQUENT`` at most, go to each task with their counts;
 all other words of a text are joined with the table of counts, so nothing is left out and no table of unbounded size is sent.
@@ -44,12 +44,12 @@ CONTEXT, STRIDE, DEPTH, HIDDEN = 16, 32, 16, 32
 PLACES = CONTEXT + STRIDE
 #: Groups of classes, members of a group, and those of a group that several ids share.
 GROUPS, MEMBERS, SHARED = 32, 64, 4
-#: Windows that go through the network at once in scoring, and in a gradient step.
-BATCH, STEP = 384, 32
-#: A task learns from one of so many windows in a round, but makes so many gradient steps at least; ids that a task has, about.
-SPARSE, STEPS, TASK = 128, 400, 1 << 25
-#: Texts of which one is kept; rounds at most; the least relative fall of the kept windows' loss for which another round is made.
-KEPT, ROUNDS, GAIN = 32, 30, 0.002
+#: Windows that go through the network at once in scoring, and in a gradient step at least and at most.
+BATCH, STEP, LONG = 384, 32, 256
+#: Rounds in which all windows have their turn at most; gradient steps of a task in a round at least; ids that a task has, about; windows that a task holds at once.
+TURNS, STEPS, TASK, HELD = 8, 400, 1 << 25, 1 << 18
+#: Texts of which one is kept; of their windows one of so many measures the loss, or ``STEPS`` of a run; rounds at most; the least relative fall of that loss for which another round is made.
+KEPT, SPARSE, ROUNDS, GAIN = 32, 128, 30, 0.002
 #: The size of gradient steps, and what is left of it a round later.
 RATE, FALL = 0.02, 0.7
 #: The largest norm of a step's gradients; longer ones are shortened to it.
@@ -331,8 +331,8 @@ class Network:
         g["a"] = own.T @ dq
         dx[:, CONTEXT:] += (dy + dq @ w["a"].T).reshape(c.shape)
         g["p"] = dx.sum(0)
-        g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], places.ravel(), flat(dx))
+        at = places.reshape(-1, 1) * DEPTH + np.arange(DEPTH)
+        g["e"] = np.bincount(at.ravel(), dx.ravel(), w["e"].size).reshape(w["e"].shape).astype(w["e"].dtype)
         for name in self.FIXED:
             g[name][:, -1] = 0
         return g, loss / n
@@ -340,10 +340,11 @@ class Network:
     def learn(self, x: np.ndarray, y: np.ndarray, rng, moves: "Moves", high: float, low: float, passes: int = 1) -> None:
         """Adam's steps over the windows in random order, whose size goes from high to low."""
         order = np.concatenate([rng.permutation(len(x)) for _ in range(passes)])
-        steps = -(-len(order) // STEP)
+        size = min(max(STEP, len(order) // STEPS), LONG)
+        steps = -(-len(order) // size)
         for t in range(steps):
-            at = order[t * STEP : (t + 1) * STEP]
-            moves.step(self.w, self.gradients(x[at], y[at])[0], high + (low - high) * t / steps)
+            at = order[t * size : (t + 1) * size]
+            moves.step(self.w, self.gradients(x[at].astype(np.int32), y[at].astype(np.int32))[0], high + (low - high) * t / steps)
 
 
 class Moves:
@@ -435,95 +436,118 @@ def gather(texts: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return in_arrow(texts, each, "tag long, ids binary, word binary, piece long, n long, kind int")
 
 
-def train(bodies: DataFrame, kinds: np.ndarray, counts: np.ndarray, end_id: int, wide: bool, seed: int = 11) -> tuple[dict, list[float]]:
-    """The network's weights, fitted on the ids in bodies (tag, ids), and the kept windows' loss ahead of each round.
-
-    The weights returned are those of the lowest loss measured. After a round that raised it, training goes back to them with steps half as large."""
-    weights, losses = Network.made(np.bincount(kinds, weights=counts, minlength=_PAD)).w, []
-    shapes = {k: v.shape for k, v in weights.items()}
-    first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
-    dtype, least = "<u4" if wide else "<u2", STEPS * STEP
-    best, lowest, rate, backs = None, np.inf, RATE, 0
-    while len(losses) < ROUNDS:
-        given, nth_round, high = best if backs and weights is best[0] else (weights, first, second), len(losses), rate
-
-        def each(batches, given=given, nth_round=nth_round, high=high):
-            from pyspark import TaskContext
-
-            part = TaskContext.get().partitionId()
-            mine, *means = ({k: v.copy() for k, v in x.items()} for x in given)
-            own, moves, rng = Network(mine), Moves(*means, 1000 * nth_round), np.random.default_rng([seed, nth_round, part])
-            loss, n_kept, drawn, n_drawn = 0.0, 0, [], 0
-            spare, n_rest = (np.zeros((0, PLACES), np.int32), np.zeros((0, STRIDE), np.int32)), 0  # drawn evenly from the rest so far, for small tasks
-            for batch in batches:
-                away = (batch.column(0).to_numpy() * 2654435761 % 2**32 >> 8) % KEPT == 0
-                bodies = batch.column(1)
-                for kept in (True, False):
-                    parts = [np.frombuffer(b, dtype) for b in bodies.filter(pa.array(away == kept)).to_pylist()]
-                    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-                    for run in _slices(lengths, 1 << 20):
-                        flat, n = np.concatenate(parts[run[0] : run[-1] + 1]), int((-(-lengths[run] // STRIDE)).sum())
-                        take = -(-n // SPARSE)
-                        if kept:
-                            same = np.random.default_rng(seed)  # the kept windows are the same in each round
-                            x, y = some_windows(flat, lengths[run], kinds, end_id, same.choice(n, min(n, max(take, STEPS)), replace=False))
-                            before = Network(given[0])
-                            p = np.concatenate([before.log_probs(x[k : k + BATCH], y[k : k + BATCH]) for k in range(0, len(x), BATCH)])
-                            loss, n_kept = loss - float(p.sum(dtype=float)), n_kept + len(p)
-                            continue
-                        n_drawn += take
-                        size = min(max(0, least - n_drawn), n_rest + n - take)
-                        new = int(rng.hypergeometric(n - take, n_rest, size)) if size else 0
-                        x, y = some_windows(flat, lengths[run], kinds, end_id, rng.choice(n, take + new, replace=False))
-                        drawn.append((x[:take], y[:take]))
-                        stay = rng.choice(len(spare[0]), size - new, replace=False) if size > new else []
-                        spare = tuple(np.concatenate([old[stay], more[take:]]) if len(stay) else more[take:] for old, more in zip(spare, (x, y), strict=True))
-                        n_rest += n - take
-            seen = 0
-            if drawn:
-                x, y = (np.concatenate(v) for v in zip(*drawn, spare, strict=True))
-                seen = len(x)
-                own.learn(x, y, rng, moves, high, high * FALL, max(1, -(-least // seen)))
-            flat = np.concatenate([x[k].ravel() for x in (own.w, moves.first, moves.second) for k in shapes]).astype(float) * seen
-            for k, values in enumerate(np.array_split(flat, PARTS)):
-                yield pa.RecordBatch.from_arrays([pa.array([part % BUNDLES]), pa.array([k]), pa.array([float(seen)]), pa.array([loss]), pa.array([n_kept]), pa.array([values.astype(np.float32).tobytes()], pa.binary())], names=["bundle", "k", "seen", "loss", "n_kept", "weights"])
-            give_back()
-
-        def added(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(b, np.float32).astype(float) for b in table.column("weights").to_pylist())
-            one = lambda name: [sum(table.column(name).to_pylist())]
-            return pa.table({"bundle": pa.array([0]), "k": table.column("k").slice(0, 1), "seen": one("seen"), "loss": one("loss"), "n_kept": one("n_kept"), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-        schema = "bundle long, k long, seen double, loss double, n_kept long, weights binary"
-        sums = in_arrow(bodies, each, schema).groupBy("bundle", "k").applyInArrow(added, schema).groupBy("k").applyInArrow(added, schema)
-        found = sorted(sums.collect(), key=lambda r: r["k"])  # PARTS rows, the weights once
-        if not found or not found[0]["seen"]:
-            return weights, losses
-        flat, at = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in found]).astype(float) / found[0]["seen"], 0
-        weights, first, second = {}, {}, {}
-        for x in (weights, first, second):
-            for name, shape in shapes.items():
-                n = int(np.prod(shape))
-                x[name], at = flat[at : at + n].reshape(shape).astype(np.float32), at + n
-        if not found[0]["n_kept"]:  # too few texts to keep any: some rounds, unmeasured
-            best, rate = (weights, first, second), rate * FALL
-            losses.append(np.nan)
-            if len(losses) == BLIND:
-                break
-            continue
-        losses.append(found[0]["loss"] / found[0]["n_kept"])
-        if given is best:  # measured before it went wrong
-            continue
-        if losses[-1] < lowest:
-            gained = losses[-1] < lowest * (1 - GAIN)
-            best, lowest, rate = given, losses[-1], rate * FALL
-            if not gained:
-                break
-        else:
-            (weights, first, second), rate, backs = best, rate * BACK, backs + 1
-            if backs > BACKS:
-                break
-    return best[0], losses
+def turn(tags: np.ndarray, lengths: np.ndarray, turns: int, epoch: int) -> np.ndarray:
+    """The turn of each window of texts in a row."""
+    n = -(-lengths // STRIDE)
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    mixed = np.repeat(tags, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (nth + (epoch << 40)).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return (mixed >> np.uint64(33)) % np.uint64(turns)
+
+
+def train(bodies: DataFrame, kinds: np.ndarray, counts: np.ndarray, end_id: int, wide: bool, seed: int = 11) -> tuple[dict, list[float], list[int]]:
+    """The network's weights, fitted on the ids in bodies (tag, ids), the kept windows' loss ahead of each round, and how many windows each round learned
+    from whose steps are in the weights; the first of them are all windows but those of kept texts, the last those."""
+    least = STEPS * STEP
+    turns = int(min(TURNS, max(1, counts.sum() // (tasks(counts) * STRIDE * least))))
+    weights = Network.made(np.bincount(kinds, weights=counts, minlength=_PAD)).w
+    state, losses, learned = (weights, *({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))), [], []
+    best, lowest, rate, backs, over = None, np.inf, RATE, 0, False
+    while True:
+        done = len(learned)
+        closing = over or turns == TURNS == done or len(losses) >= ROUNDS
+        new, seen, loss = _round(bodies, kinds, end_id, wide, seed, state, len(losses), (done % turns, turns, done // turns), rate, least, closing)
+        if not seen:
+            return state[0], losses, learned
+        losses.append(loss)
+        if state is not best:  # else it has been measured
+            if loss > lowest and backs < BACKS and len(losses) < ROUNDS:  # again, from where the last round began
+                state, rate, backs = best, rate * BACK, backs + 1
+                learned.pop()
+                continue
+            if loss > lowest and done > turns:
+                state, over = best, True
+                learned.pop()
+                continue
+            enough = loss >= lowest * (1 - GAIN) or (np.isnan(loss) and done >= BLIND)
+            best, lowest = state, min(loss, lowest)
+            if done >= turns and enough and not closing:
+                over = True
+                continue
+        learned.append(seen)
+        if closing:
+            return new[0], losses, learned
+        state, rate = new, rate * FALL
+
+
+def tasks(counts: np.ndarray) -> int:
+    """How many tasks train on so many ids."""
+    return max(1, round(counts.sum() / TASK))
+
+
+def _round(bodies: DataFrame, kinds: np.ndarray, end_id: int, wide: bool, seed: int, given: tuple, nth_round: int, when: tuple, high: float, least: int, closing: bool):
+    """Weights and Adam's means after the tasks' steps on the windows whose turn it is (closing: on those of kept texts), how many these are, and the
+    kept windows' mean loss ahead of the steps. when: the turn, of how many, and how often all windows have had theirs."""
+    shapes = {k: v.shape for k, v in given[0].items()}
+    dtype = "<u4" if wide else "<u2"
+
+    def each(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        mine, *means = ({k: v.copy() for k, v in x.items()} for x in given)
+        own, moves, rng = Network(mine), Moves(*means, 1000 * nth_round), np.random.default_rng([seed, nth_round, part])
+        loss, n_kept, drawn, held, seen = 0.0, 0, [], 0, 0
+        for batch in batches:
+            tags = batch.column(0).to_numpy()
+            away = (tags * 2654435761 % 2**32 >> 8) % KEPT == 0
+            for kept in (True, False):
+                if closing and not kept:
+                    continue
+                parts = [np.frombuffer(b, dtype) for b in batch.column(1).filter(pa.array(away == kept)).to_pylist()]
+                lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+                of = tags[away == kept]
+                for run in _slices(lengths, 1 << 20):
+                    flat, n = np.concatenate(parts[run[0] : run[-1] + 1]), int((-(-lengths[run] // STRIDE)).sum())
+                    if kept:
+                        same = np.random.default_rng(seed)  # the windows that measure are the same in each round
+                        x, y = some_windows(flat, lengths[run], kinds, end_id, same.choice(n, min(n, max(-(-n // SPARSE), STEPS)), replace=False))
+                        before = Network(given[0])
+                        p = np.concatenate([before.log_probs(x[k : k + BATCH], y[k : k + BATCH]) for k in range(0, len(x), BATCH)])
+                        loss, n_kept = loss - float(p.sum(dtype=float)), n_kept + len(p)
+                    if kept == closing:
+                        chosen = np.arange(n) if closing else np.flatnonzero(turn(of[run], lengths[run], *when[1:]) == when[0])
+                        x, y = some_windows(flat, lengths[run], kinds, end_id, chosen)
+                        drawn.append((x.astype(np.int16), y.astype(np.int16)))
+                        held += len(chosen)
+                    if held > HELD:  # a task of uncommon size
+                        own.learn(*map(np.concatenate, zip(*drawn, strict=True)), rng, moves, high, high)
+                        seen, held, drawn = seen + held, 0, []
+        if held:
+            x, y = map(np.concatenate, zip(*drawn, strict=True))
+            own.learn(x, y, rng, moves, high, high * FALL, 1 if seen or closing else max(1, -(-least // held)))
+            seen += held
+        flat = np.concatenate([x[k].ravel() for x in (own.w, moves.first, moves.second) for k in shapes]).astype(float) * seen
+        for k, values in enumerate(np.array_split(flat, PARTS)):
+            yield pa.RecordBatch.from_arrays([pa.array([part % BUNDLES]), pa.array([k]), pa.array([float(seen)]), pa.array([loss]), pa.array([n_kept]), pa.array([values.astype(np.float32).tobytes()], pa.binary())], names=["bundle", "k", "seen", "loss", "n_kept", "weights"])
+        give_back()
+
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b, np.float32).astype(float) for b in table.column("weights").to_pylist())
+        one = lambda name: [sum(table.column(name).to_pylist())]
+        return pa.table({"bundle": pa.array([0]), "k": table.column("k").slice(0, 1), "seen": one("seen"), "loss": one("loss"), "n_kept": one("n_kept"), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "bundle long, k long, seen double, loss double, n_kept long, weights binary"
+    sums = in_arrow(bodies, each, schema).groupBy("bundle", "k").applyInArrow(added, schema).groupBy("k").applyInArrow(added, schema)
+    found = sorted(sums.collect(), key=lambda r: r["k"])  # PARTS rows, the weights once
+    if not found or not found[0]["seen"]:
+        return given, 0, np.nan
+    flat, at, out = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in found]).astype(float) / found[0]["seen"], 0, ({}, {}, {})
+    for x in out:
+        for name, shape in shapes.items():
+            n = int(np.prod(shape))
+            x[name], at = flat[at : at + n].reshape(shape).astype(np.float32), at + n
+    return out, int(found[0]["seen"]), found[0]["loss"] / found[0]["n_kept"] if found[0]["n_kept"] else np.nan
 
 
 def score(docs: DataFrame, tokenizer: str, end_id: int, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -539,8 +563,8 @@ def score(docs: DataFrame, tokenizer: str, end_id: int, folds: int = 5, fold: in
     coder = byte_pairs(tokenizer)
     begins = np.array([i >= coder.n_vocab or coder.decode_single_token_bytes(i)[:1] == b" " for i in range(size)]) | (np.arange(size) == end_id)
     kinds = classes(counts, begins)
-    bodies = learned.where("kind = 0").select("tag", "ids").coalesce(max(1, round(counts.sum() / TASK)))
-    weights, _ = train(bodies, kinds, counts, end_id, size > 1 << 16)
+    bodies = learned.where("kind = 0").select("tag", "ids").coalesce(tasks(counts))
+    weights, *_ = train(bodies, kinds, counts, end_id, size > 1 << 16)
     share = np.log((counts + 0.5) / np.bincount(kinds, weights=counts + 0.5, minlength=_PAD)[kinds])
 
     known = freeze(learned.where("kind = 1").groupBy("word").agg(F.sum("n").alias("c")), "known")

@@ -159,3 +159,26 @@ def test_words_are_encoded_alone_and_forgotten():
         for part, t in zip(parts, texts, strict=True):
             want = [i for w in words((t or b"").decode()) for i in coder.encode(" " + w, add_special_tokens=False).ids]
             assert part.tolist() == [*want, END]
+
+
+def test_each_window_is_learned_from(spark, monkeypatch):
+    """In turns, those of the kept texts at last; a task that holds few windows at once learns from all of them, too."""
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 400, 900)
+    n_windows = int((-(-lengths // lm.STRIDE)).sum())
+    for turns in (1, 3):
+        found = [lm.turn(np.arange(900), lengths, turns, epoch) for epoch in (0, 1)]
+        assert all(len(f) == n_windows and set(f.tolist()) == set(range(turns)) for f in found)
+    ids = [np.append((rng.integers(0, 99) + np.arange(n - 1)) % 99, 99) for n in lengths]
+    counts = np.bincount(np.concatenate(ids), minlength=100).astype(float)
+    bodies = spark.createDataFrame([(i, x.astype("<u2").tobytes()) for i, x in enumerate(ids)], "tag long, ids binary").repartition(3).cache()
+    monkeypatch.setattr(lm, "STEPS", 4)
+    kinds = lm.classes(counts, np.arange(100) < 50)
+    for held in (100, 1 << 18):
+        monkeypatch.setattr(lm, "HELD", held)
+        weights, losses, learned = lm.train(bodies, kinds, counts, 99, False)
+        assert len(learned) == lm.TURNS + 1 and sum(learned) == n_windows and losses[lm.TURNS] < losses[0]
+    monkeypatch.setattr(lm, "KEPT", 1 << 30)  # but for one text none is kept
+    assert sum(lm.train(bodies, kinds, counts, 99, False)[2]) == n_windows
+    monkeypatch.setattr(lm, "STEPS", 400)
+    assert lm.train(bodies.where("tag > 0"), kinds, counts, 99, False)[2] == [n_windows - -(-lengths[0] // lm.STRIDE)] * lm.BLIND
