@@ -68,3 +68,31 @@ def test_odd_vectors(spark, monkeypatch):
     best = max((i for i in x if i), key=lambda i: x[0] @ x[i] / np.linalg.norm(x[i]))
     first = exact.where("query_id = 0 and rank = 1").first()["vec_id"]
     assert first in (best, 160)
+
+
+def test_a_query_goes_to_a_shard_once(spark, monkeypatch):
+    """What is shuffled are queries times shards, not times cells; shards are bounded, large cells too; what is met are the k best of all visited cells."""
+    monkeypatch.setattr(search, "BLOCK", 150)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 8))
+    x[:500] = x[0]  # one cell of many vectors
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    rows, asked = search._rows(vectors), search._rows(vectors.where("vec_id % 20 = 0"))
+    data, probes = (df.cache() for df in search._dealt(rows, asked, 10, 0.95, 4))
+    places = probes.select("vec_id", "table", "db")
+    assert probes.count() == places.distinct().count() < probes.selectExpr("sum(size(cells))").first()[0]
+    assert data.groupBy("table", "db", "qb").count().selectExpr("max(count)").first()[0] <= 2 * 187  # 3000 // SHARDS
+    assert data.where("vec_id < 500 and table = 0").select("db").distinct().count() >= 3
+    shards = {}
+    for r in data.collect():
+        shards.setdefault((r["table"], r["db"], r["qb"]), []).append((r["cell"], r["vec_id"], np.array(r["v"])))
+    want = set()
+    for r in probes.collect():
+        q, near = np.array(r["v"]), []
+        for cell, i, v in shards.get((r["table"], r["db"], r["qb"]), []):
+            if cell in r["cells"] and i != r["vec_id"]:
+                near.append((-round(float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 5), i))
+        want |= {(r["vec_id"], round(-s, 5)) for s, i in sorted(near)[:10]}
+    got = {(r["query_id"], round(r["score"], 5)) for r in search._best_in_cells(data, probes, 10).collect()}
+    near = {(i, round(s + e, 5)) for i, s in want for e in (-1e-5, 0, 1e-5)}
+    assert got <= near and len(got) >= 0.98 * len(want)
