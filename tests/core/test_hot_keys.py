@@ -63,3 +63,18 @@ def test_an_aggregate_of_a_hot_group(spark):
     seen = user.two_step_agg(df, ["k"], "v", lambda: [0, 0.0, 0], update, merge, lambda s: s[2], "most", "long")
     assert seen.where("k = 'hot'").first()["most"] <= 20_000 / 8
     assert user.two_step_agg(df.limit(0), ["k"], "v", list, update, merge, len, "n", "long").count() == 0
+
+
+def test_many_small_groups_in_order(spark, monkeypatch):
+    """A task merges the states of many groups in few batches, and updates a group once for many frames."""
+    monkeypatch.setattr(user, "MERGED", 7)
+    monkeypatch.setattr(user, "GROUPS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    df = spark.range(0, 4000, 1, 2).select((F.col("id") % 300).alias("k"), F.col("id").cast("double").alias("v"))
+    add = lambda s, values: [s[0] + values.sum(), s[1] + 1]
+    merge = lambda a, b: [a[0] + b[0], a[1] + b[1]]
+    out = user.two_step_agg(df, ["k"], "v", lambda: [0.0, 0], add, merge, lambda s: s[0], "total", "double")
+    assert {r["k"]: r["total"] for r in out.collect()} == {k: float(sum(range(k, 4000, 300))) for k in range(300)}
+    calls = user.two_step_agg(df, ["k"], "v", lambda: [0.0, 0], add, merge, lambda s: s[1], "calls", "long").agg(F.max("calls")).first()[0]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert calls == 2  # one for each task, of twenty frames
