@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al. 2014).
 
 Each step's minima and edges are written to the shared folder before they are joined, so that both sides of
-every join are plain exchanges whose hot keys Spark splits at run time, and no step repeats earlier ones.
+every join are plain exchanges whose hot keys Spark splits at run time, and no step repeats earlier ones. They end
+when all edges are stars, which needs no step beyond the last one.
 """
 
 from pyspark.sql import DataFrame
@@ -10,26 +11,28 @@ from pyspark.sql import functions as F
 from .common import freeze
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (long). node, component: every node of an edge and the smallest node that it reaches."""
-    turned = freeze(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while (now := _state(turned)) != before and now[0]:
-        before = now
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """edges: a, b (long); rows: how many, if known. node, component: every node of an edge and the smallest node that it reaches."""
+    turned = freeze(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows=rows)
+    while (state := _state(turned))[1]:
+        n = state[0]
         both = turned.union(turned.select("b", "a"))
-        least = freeze(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        least = freeze(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", rows=n)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = freeze(large, "large")
-        least = freeze(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = freeze(large, "large", rows=n)
+        least = freeze(large.groupBy("a").agg(F.min("b").alias("m")), "least", rows=n)
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        turned = freeze(small.distinct(), "edges")
+        turned = freeze(small.distinct(), "edges", rows=n)
     roots = turned.select(F.col("b").alias("node")).distinct()
     return turned.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    """How many edges (from a larger to a smaller node, each once) there are, and how many nodes keep them from being stars: those with several smaller ones, or with smaller and larger ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return tuple(nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(F.col("up") + F.col("down") * F.least("up", F.lit(1)) > 1)).first())
 
 
 def spanning(n: int, a, b, labels=None):

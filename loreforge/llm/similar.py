@@ -105,22 +105,23 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, t: float = 0.8) -> DataFrame:
     """id: the texts that are not the smallest id of their group. Ids must be unique."""
     all_ = freeze(sketches(docs, id_col, text_col, width), "sketches")
-    least = freeze(all_.groupBy("h1", "h2").agg(F.min("id").alias("first")), "sets").select(F.col("first").alias("id"))
+    n_texts = all_.count()
+    least = freeze(all_.groupBy("h1", "h2").agg(F.min("id").alias("first")), "sets", rows=n_texts).select(F.col("first").alias("id"))
     same = all_.select("id").join(least, "id", "left_anti")
-    alike = freeze(by_prints(all_.join(least, "id", "left_semi").select("id", "n", "fp"), t), "alike")
+    alike = freeze(by_prints(all_.join(least, "id", "left_semi").select("id", "n", "fp"), t, n_texts), "alike", rows=n_texts)
     each = all_.join(least, "id", "left_semi").select(F.explode("keys").alias("key"), "id", "n", "b1", "b2")
     shared = each.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = freeze(each.join(shared, "key").withColumn("place", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40)) / (1 << 40)), "members")
+    members = freeze(each.join(shared, "key").withColumn("place", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40)) / (1 << 40)), "members", rows=n_texts * BANDS)
     if members.isEmpty() and alike.isEmpty():
         return same
     wanted = members.select("id").union(alike.select("a")).union(alike.select("b"))
-    wanted = freeze(wanted.select(F.col("id").alias("wanted")).distinct(), "wanted")
+    wanted = freeze(wanted.select(F.col("id").alias("wanted")).distinct(), "wanted", rows=n_texts)
     texts = docs.select(id_col, text_col)
     sets = freeze(sets_of(texts.join(small(wanted), texts[id_col] == F.col("wanted"), "left_semi"), id_col, text_col, width), "grams")
     first = members.where(F.col("id") == F.col("least")).select(F.col("key").alias("same"), F.col("id").alias("a"), F.col("n").alias("an"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
     pairs = first.join(members, (F.col("key") == F.col("same")) & (F.col("id") > F.col("a")) & _alike(t)).select("a", F.col("id").alias("b")).distinct()
     labels = _more(None, _near(alike, sets, t))
-    labels = _more(labels, _near(freeze(_apart(pairs, labels), "pairs"), sets, t))
+    labels = _more(labels, _near(freeze(_apart(pairs, labels), "pairs", rows=n_texts), sets, t))
     open_ = _open(members, labels).select("id").distinct()
     rare = freeze(prefixes(sets.join(open_, "id", "left_semi"), t), "prefixes")
     rare = freeze(rare.join(all_.select("id", "b1", "b2"), "id").withColumn("place", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40)) / (1 << 40)), "rare")
@@ -136,19 +137,19 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
         # where this is the first shingle that both have, no more can be shared than the rest of either
         enough = 1 + F.least(F.col("n") - F.col("pos"), F.col("an") - F.col("at")) >= (F.col("n") + F.col("an")) * (t / (1 + t)) - 1e-6
         pairs = some.join(now, (F.col("key") == F.col("same")) & fresh & enough & _alike(t)).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        labels = _more(labels, _near(freeze(pairs, "pairs"), sets, t))
+        labels = _more(labels, _near(freeze(pairs, "pairs", rows=n_texts), sets, t))
         done = share
     return same if labels is None else same.union(labels.where("node <> component").select(F.col("node").alias("id")))
 
 
-def by_prints(prints: DataFrame, t: float) -> DataFrame:
+def by_prints(prints: DataFrame, t: float, n_texts: int | None = None) -> DataFrame:
     """a, b: of texts (id, n, fp) whose fingerprints are linked, by one or by several steps of ``BITS`` bits, pairs that join them all, if the sizes allow a similarity of t.
     Texts with one fingerprint are paired with the smallest id of them."""
-    prints = freeze(prints, "prints")
-    first = freeze(prints.groupBy("fp").agg(F.min_by(F.struct("id", "n"), "id").alias("first")), "first")
+    prints = freeze(prints, "prints", rows=n_texts)
+    first = freeze(prints.groupBy("fp").agg(F.min_by(F.struct("id", "n"), "id").alias("first")), "first", rows=n_texts)
     of = lambda fp, id_, n: first.select(F.col("fp").alias(fp), F.col("first.id").alias(id_), F.col("first.n").alias(n))
     copies_ = prints.join(of("fp", "a", "an"), "fp").where("id <> a").select("a", "an", F.col("id").alias("b"), F.col("n").alias("bn"))
-    edges = freeze(near_prints(first.select("fp"), BITS).select(F.col("a").alias("f"), F.col("b").alias("g")).distinct(), "near_prints")
+    edges = freeze(near_prints(first.select("fp"), BITS).select(F.col("a").alias("f"), F.col("b").alias("g")).distinct(), "near_prints", rows=n_texts)
     others = edges.join(of("f", "a", "an"), "f").join(of("g", "b", "bn"), "g").select("a", "an", "b", "bn")
     pairs = copies_.union(others).where(F.least("an", "bn") >= F.greatest("an", "bn") * t - 1e-9)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -173,14 +174,16 @@ def _near(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """The pairs a, b whose whole sets are similar."""
     found = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     found = found.select("a", "b", (F.size("x") + F.size("y")).alias("all"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return freeze(found.where(F.col("both") >= (F.col("all") - F.col("both")) * t - 1e-9).select("a", "b"), "edges")
+    return freeze(found.where(F.col("both") >= (F.col("all") - F.col("both")) * t - 1e-9).select("a", "b"), "edges", rows=pairs.count())
 
 
 def _more(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
     """node, component after the links found; labels as edges, so that groups that stay as they are need no further step."""
     if found.isEmpty():
         return labels
-    return freeze(components(found if labels is None else found.union(labels.select("node", "component"))), "labels")
+    links = found if labels is None else found.union(labels.select("node", "component"))
+    n = links.count()
+    return freeze(components(links, n), "labels", rows=2 * n)
 
 
 def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:

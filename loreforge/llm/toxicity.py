@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, slices
+from .common import give_back, in_arrow, slices
 from .learning import MEMORY, SIZE, Adam, Hashed, held_out, sample, sigmoid, sums
 
 #: Labelled documents that the model is fitted on at most.
@@ -117,7 +117,12 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 200, rate: float = 0.
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, fold: int = 0, rows: int = ROWS) -> Model:
     found = sample(docs, labels, label_col, id_col, text_col, folds, fold, rows).toArrow()
     order = np.argsort(found.column("text").to_numpy(), kind="stable") if found.num_rows else np.zeros(0, int)  # the same sums in every run
-    return fit(found.column("text").take(pa.array(order)).to_pylist(), found.column("label").to_numpy()[order])
+    texts, labels = found.column("text").take(pa.array(order)).to_pylist(), found.column("label").to_numpy()[order]
+    del found
+    model = fit(texts, labels)
+    del texts
+    give_back()  # this is the driver
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,11 +1,12 @@
 import random
+import sys
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loreforge.llm import simhash
+from loreforge.llm import common, simhash
 from loreforge.llm.components import components
 
 
@@ -94,3 +95,23 @@ def test_rows(spark):
     assert kept.columns == docs.columns and kept.count() == 5
     unique = docs.where(F.col("doc_id").isin(3, 2, 9, 8))
     assert sorted(r["doc_id"] for r in simhash.drop_near(unique).collect()) == [2, 8]
+
+
+def test_few_steps_and_few_files(spark, monkeypatch):
+    """Stars need no step; a step's narrow tables are in no more files than their rows need, however many partitions a shuffle has."""
+    kept, freeze = [], common.freeze
+    monkeypatch.setattr(sys.modules["loreforge.llm.components"], "freeze", lambda *a, **b: kept.append(freeze(*a, **b)) or kept[-1])
+    stars = [(1, i) for i in range(2, 300)] + [(300, i) for i in range(301, 330)]
+    got = components(spark.createDataFrame(stars, "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == {i: 1 if i < 300 else 300 for i in range(1, 330)} and len(kept) == 1
+    for name, value in (many := {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}).items():
+        many[name] = spark.conf.get(name)
+        spark.conf.set(name, value)
+    try:
+        kept.clear()
+        got = components(spark.createDataFrame([*stars, (299, 300)], "a long, b long"), len(stars) + 1)
+        assert {r["component"] for r in got.collect()} == {1} and got.count() == 329
+        assert 1 < len(kept) and all(len(k.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism for k in kept)
+    finally:
+        for name, value in many.items():
+            spark.conf.set(name, value)
