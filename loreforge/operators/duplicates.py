@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import shingles, tokens, with_array
+from ..functions.text import line, shingles, with_array
 from ..sources.tables import keep
 
 #: Cells into which shingles fall by their hashes, for the order of rare ones.
@@ -19,7 +19,7 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.array_join(F.coalesce(tokens("text"), F.array().cast("array<string>")), " ").alias("line"))
+    return documents.select("doc_id", line("text").alias("line"))
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -52,9 +52,31 @@ def document_clusters(documents: DataFrame, n: int = 5, t: float = 0.8) -> DataF
 
 
 def hashed_sets(documents: DataFrame, n: int = 5) -> DataFrame:
-    """class_id, grams, n: the 64-bit hashes of each class's shingles, kept."""
-    grams = F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g)))
-    return keep(shingle_sets(documents, n).select("class_id", grams.alias("grams")).withColumn("n", F.size("grams")), "sets")
+    """class_id, grams, n: the 64-bit hashes of the shingles of :func:`shingle_sets`, each once, kept."""
+
+    def each(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [hashes(line, n) for line in part.column("line").to_pylist()]
+                sizes = np.fromiter(map(len, sets), np.int32, len(sets))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column("class_id"), lists, pa.array(sizes)], names=["class_id", "grams", "n"])
+
+    found = _lines(documents).where("line <> ''").groupBy("line").agg(F.min("doc_id").alias("class_id"))
+    return keep(found.select("class_id", F.col("line").cast("binary").alias("line")).mapInArrow(each, "class_id long, grams array<long>, n int"), "sets")
+
+
+def hashes(line: bytes, n: int) -> np.ndarray:
+    """Spark's xxhash64 of a text's shingles, each once. line: its tokens, space-joined."""
+    import xxhash
+
+    words, digest = line.split(b" "), xxhash.xxh64_intdigest
+    if len(words) <= n:
+        return np.array([digest(line, 42)], np.uint64).view(np.int64)
+    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64)
+    bounds = zip([0, *ends[:-n].tolist()], (ends[n - 1 :] - 1).tolist(), strict=True)
+    return np.unique(np.array([digest(line[a:b], 42) for a, b in bounds], np.uint64)).view(np.int64)
 
 
 def _cells(sets: DataFrame) -> np.ndarray:

@@ -77,3 +77,18 @@ def test_templates_are_not_compared(spark, monkeypatch):
 def test_nothing(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert duplicates.document_clusters(df).count() == duplicates.near_duplicates_lsh(df).count() == 0
+
+
+def test_sets_are_hashed_in_tasks(spark):
+    """The same sets as Spark's own hashes of the shingles, with no list of shingles as strings in the plan."""
+    odd = [(1, "A b, c d e f"), (2, "a B c D e"), (3, "one two"), (4, None), (5, " .,"), (6, "É é x1 ß ſ İ Σας x x x x x x x x"), (7, "one,two"), (None, "b c d e f g")]
+    df = spark.createDataFrame(odd, SCHEMA)
+    want = {r["class_id"]: sorted(r["h"]) for r in duplicates.shingle_sets(df).selectExpr("class_id", "array_distinct(transform(grams, g -> xxhash64(g))) AS h").collect()}
+    sets = duplicates.hashed_sets(df)
+    assert {r["class_id"]: sorted(r["grams"]) for r in sets.collect()} == want and len(want) == 5
+    assert all(r["n"] == len(r["grams"]) for r in sets.collect())
+    assert duplicates.hashed_sets(df.limit(0)).count() == 0
+    used = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(duplicates, "shingles", lambda *a: used.append(a))
+        assert duplicates.hashed_sets(df).count() == 5 and not used
