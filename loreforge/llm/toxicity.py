@@ -24,6 +24,8 @@ from .learning import MEMORY, SIZE, Adam, Hashed, held_out, sample, sigmoid, sum
 
 #: Labelled documents that the model is fitted on at most.
 ROWS = 4000
+#: Features that a step of the fit looks up at once, about.
+PART = 1 << 19
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -77,14 +79,13 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 200, rate: float = 0.
     bias = -6.0
     if not len(texts) or labels.min() == labels.max():
         return Model(np.zeros(SIZE, np.float32), bias)
-    memo, rows, sentence = Hashed(), [], []  # rows: a document's features; sentence: which of all sentences each is in
+    memo, rows = Hashed(), []  # rows: a sentence's features
     n, of_doc, docs = 0, [], np.zeros(SIZE, np.int32)
     for i, text in enumerate(texts):
         there: set[int] = set()
         for s in split([text])[0]:
             own = {memo[f] for w in _WORD.findall(s.lower()) for f in features(w)}
             rows.append(np.fromiter(own, np.int32, len(own)))
-            sentence.append(np.full(len(own), n, np.int32))
             there |= own
             of_doc.append(i)
             n += 1
@@ -92,21 +93,23 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 200, rate: float = 0.
     often = docs >= least
     used = np.flatnonzero(often)
     at = np.cumsum(often, dtype=np.int32) - 1
-    keep = [often[r] for r in rows]
-    places = np.concatenate([at[r[k]] for r, k in zip(rows, keep, strict=True)])
-    sentence = np.concatenate([x[k] for x, k in zip(sentence, keep, strict=True)])
-    of_doc = np.array(of_doc, np.int32)
-    del rows, keep
+    for i, r in enumerate(rows):
+        rows[i] = at[r[often[r]]]
+    lengths, places = np.fromiter(map(len, rows), np.int64, n), np.concatenate(rows)
+    of_doc, starts = np.array(of_doc, np.int32), np.cumsum(lengths) - lengths
+    del rows, memo
+    cuts = np.append(np.flatnonzero(np.diff(starts // PART, prepend=-1)), n)  # whole sentences of about PART features at once
+    parts = [(slice(a, b), places[starts[a] : starts[b] if b < n else None], lengths[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     w, moves = np.zeros(len(used) + 1), Adam(len(used) + 1, rate)
     w[-1] = bias
     for _ in range(steps):
-        z = np.bincount(sentence, weights=w[places], minlength=n) + w[-1]
+        z = np.concatenate([np.bincount(np.repeat(np.arange(len(k)), k), weights=w[p], minlength=len(k)) for _, p, k in parts]) + w[-1]
         p = sigmoid(z)
         clean = np.bincount(of_doc, weights=-np.logaddexp(0, z), minlength=len(texts))
         # d loss / d log p(clean): -1 where the label is clean, else the odds of a miss
         blame = np.where(labels > 0, np.exp(clean) / np.maximum(-np.expm1(clean), 1e-9), -1.0)
         error = -p * blame[of_doc]
-        g = np.append(np.bincount(places, weights=error[sentence], minlength=len(used)), error.sum()) / len(texts)
+        g = np.append(sum(np.bincount(p, weights=np.repeat(error[s], k), minlength=len(used)) for s, p, k in parts), error.sum()) / len(texts)
         g[:-1] += decay * w[:-1]
         w -= moves.step(g)
     weights = np.zeros(SIZE, np.float32)

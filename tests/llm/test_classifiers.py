@@ -141,3 +141,16 @@ def test_clashing_names(spark):
     out = toxicity.drop_toxic(docs, marks)
     assert out.columns == docs.columns and 0 < out.count() <= 120
     assert quality.rate(docs, quality.train(docs, marks)).count() == 120
+
+
+def test_the_fit_of_toxicity_takes_features_in_parts(monkeypatch):
+    """No step of the fit looks up all features at once, and parts change nothing but the order of sums."""
+    rng = np.random.default_rng(2)
+    texts = [". ".join(" ".join(f"w{k}" for k in rng.integers(0, 60, rng.integers(0, 9))) for _ in range(rng.integers(1, 5))) for _ in range(200)] + [""]
+    labels, sizes, bincount = np.arange(201) % 3 == 0, [], np.bincount
+    whole = toxicity.fit(texts, labels, steps=20)
+    monkeypatch.setattr(toxicity, "PART", 50)
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **b: sizes.append(len(x)) or bincount(x, *a, **b))
+    parts = toxicity.fit(texts, labels, steps=20)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-6) and abs(whole.bias - parts.bias) < 1e-9
+    assert max(sizes) <= sum(map(len, toxicity.split(texts))) < 600  # of features there are over a thousand
