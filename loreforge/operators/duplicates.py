@@ -10,6 +10,8 @@ from ..sources.tables import keep
 
 #: Cells into which shingles fall by their hashes, for the order of rare ones.
 CELLS = 1 << 18
+#: Shingles of a group of sets that one task compares, about; texts that a task remembers in order to pass over their copies.
+BLOCK, SEEN = 1 << 22, 1 << 20
 
 
 def exact_duplicates(documents: DataFrame) -> DataFrame:
@@ -37,10 +39,11 @@ def shingle_sets(documents: DataFrame, n: int = 5) -> DataFrame:
 
 
 def near_duplicate_classes(documents: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size, n_links: a row per document, with the number of other classes that are near its own."""
-    pairs = keep(near_duplicates(documents), "pairs")
-    links = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    return classes(documents).join(links, "class_id", "left").select("doc_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """doc_id, class_id, class_size, n_links: a row per document, with the number of other classes that are near its own. Pairs are counted where they are found and not kept."""
+    scan, sets, pairs = _near(documents, 5, 0.8)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    named = sets.join(links, "key", "left").select("digest", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return scan.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "class_size", "n_links")
 
 
 def document_clusters(documents: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
@@ -85,18 +88,39 @@ def _cells(sets: DataFrame) -> np.ndarray:
     def counted(batches):
         own = np.zeros(CELLS, np.int64)
         for batch in batches:
-            own += np.bincount(batch.column(0).flatten().to_numpy() & (CELLS - 1), minlength=CELLS)
+            own += _by_cell(batch.column(0).flatten().to_numpy())
         for k, part in enumerate(np.array_split(own, 16)):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tobytes()], pa.binary())], names=["k", "counts"])
 
+    return _summed(sets.select("grams").mapInArrow(counted, "k long, counts binary"))
+
+
+def _by_cell(grams: np.ndarray) -> np.ndarray:
+    return np.bincount(grams & (CELLS - 1), minlength=CELLS)
+
+
+def _summed(parts: DataFrame) -> np.ndarray:
+    """The tasks' counts (k, counts) of 16 runs of cells, added up."""
+
     def added(table: pa.Table) -> pa.Table:
-        return pa.table({"k": table.column("k").slice(0, 1), "counts": pa.array([sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist()).tobytes()], pa.binary())})
+        total = np.zeros(CELLS // 16, np.int64)
+        for c in table.column("counts"):
+            total += np.frombuffer(c.as_py(), np.int64)
+        return pa.table({"k": table.column("k").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    schema = "k long, counts binary"
-    rows = sets.select("grams").mapInArrow(counted, schema).groupBy("k").applyInArrow(added, schema).collect()  # 16 rows
+    rows = parts.groupBy("k").applyInArrow(added, "k long, counts binary").collect()  # 16 rows
     return np.concatenate([np.zeros(CELLS, np.int64)] if not rows else [np.frombuffer(r["counts"], np.int64) for r in sorted(rows)])
 
 
+def _rarest(grams: np.ndarray, n: np.ndarray, cells: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets of n shingles each, set, shingle and place of the size - ceil(t * size) + 1 rarest, in their order. The order is by how many shingles fall into a shingle's cell."""
+    row, starts = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    order = np.lexsort((grams, cells[grams & (CELLS - 1)], row))
+    place = np.arange(len(row)) - np.repeat(starts, n)
+    chosen = place < (n - np.ceil(n * t - 1e-9).astype(np.int64) + 1)[row]
+    return row[chosen], grams[order[chosen]], place[chosen]  # sets stay in order
+
+
 def rare_grams(sets: DataFrame, t: float) -> DataFrame:
     """class_id, n, gram, kept: of each set those of the size - ceil(t * size) + 1 rarest shingles that are so in others, too. Two sets of a Jaccard similarity of t or
     more share one of them in any order that holds for all sets. The order is by how many shingles fall into a shingle's cell, so shingles that many documents
@@ -107,30 +131,128 @@ def rare_grams(sets: DataFrame, t: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                grams, n = part.column("grams").flatten().to_numpy(), part.column("n").to_numpy().astype(np.int64)
-                row = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((grams, cells.value[grams & (CELLS - 1)], row))
-                first = n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
-                chosen = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) < first[row]
-                row = pa.array(row[chosen])  # sets stay in order
-                yield pa.RecordBatch.from_arrays([part.column("class_id").take(row), part.column("n").take(row), pa.array(grams[order[chosen]])], names=["class_id", "n", "gram"])
+                row, grams, _ = _rarest(part.column("grams").flatten().to_numpy(), part.column("n").to_numpy().astype(np.int64), cells.value, t)
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("class_id").take(row), part.column("n").take(row), pa.array(grams)], names=["class_id", "n", "gram"])
 
     prefix = keep(sets.select("class_id", "n", "grams").mapInArrow(each, "class_id long, n int, gram long"), "rarest")
     often = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     return keep(prefix.join(often, "gram", "left_semi").select("class_id", "n", "gram"), "prefix")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """a, b, score of those pairs (a, b) whose sets are that similar. Only sets that are in a pair are moved."""
-    pairs = keep(pairs, "candidates")
-    wanted = keep(pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct(), "wanted")
-    sets = sets.join(wanted, "class_id", "left_semi")
-    left, right = sets.select(F.col("class_id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("class_id").alias("b"), F.col("grams").alias("y"))
-    found = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-    score = F.col("both") / (F.size("x") + F.size("y") - F.col("both"))
+def _verified(pairs: DataFrame, sets: DataFrame, t: float, texts: DataFrame | None = None, n: int = 5) -> DataFrame:
+    """a, b, score of those pairs (a, b) whose sets are that similar. sets: class_id, n and grams; or class_id and n, with texts: class_id and line, of which shingles are made where they are compared.
+
+    A pair goes to a group, named by the smallest id that either of the two is paired with: a family of near copies is one group. Only sets that are in a pair are
+    moved, once for each group that has them, and no pair carries a set. A group of more than ``BLOCK`` shingles is parted into cells of two parts of its sets each."""
+    pairs = keep(_grouped(pairs), "candidates")
+    members = pairs.select("group", F.explode(F.array("a", "b")).alias("class_id"))
+    wanted = keep(members.distinct(), "wanted")
+    weights = wanted.join(sets.select("class_id", "n"), "class_id").groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
+    large = keep(weights.where("parts > 1"), "large")
+    if large.isEmpty():
+        pairs, wanted = (df.select("*", F.lit(0).alias("x"), F.lit(0).alias("y")) for df in (pairs, wanted))
+    else:
+        part = lambda id_: F.pmod(F.xxhash64(id_, F.lit(3)), F.coalesce("parts", F.lit(1))).cast("int")
+        pairs = pairs.join(large, "group", "left").select("group", "a", "b", F.least(part("a"), part("b")).alias("x"), F.greatest(part("a"), part("b")).alias("y"))
+        wanted = keep(pairs.select("group", "x", "y", F.explode(F.array("a", "b")).alias("class_id")).distinct(), "wanted")
+    what = "grams" if texts is None else "line"
+    held = _held((sets if texts is None else texts).select("class_id", what), wanted).join(wanted, "class_id").select("group", "x", "y", F.lit(0).alias("kind"), F.col("class_id").alias("a"), F.lit(0).cast("long").alias("b"), what)
+    asked = pairs.select("group", "x", "y", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast(held.schema[what].dataType).alias(what))
+    rows = held.union(asked).repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "kind")
+    found = rows.mapInArrow(_compared(t, n), "a long, b long, both long, either long")
+    score = F.col("both") / F.col("either")
     return found.where(score >= t).select("a", "b", F.round(score, 6).alias("score"))
 
 
+def _grouped(pairs: DataFrame) -> DataFrame:
+    """group, a, b."""
+    pairs = keep(pairs.select("a", "b"), "pairs")
+    low = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).groupBy(F.col("p.a").alias("id")).agg(F.least(F.min("p.a"), F.min("p.b")).alias("low"))
+    low = keep(low, "lowest")
+    of = lambda id_, name: low.select(F.col("id").alias(id_), F.col("low").alias(name))
+    return pairs.join(of("a", "u"), "a").join(of("b", "v"), "b").select(F.least("u", "v").alias("group"), "a", "b")
+
+
+def _held(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets that are wanted, and at a rate of some 1 in 16 others: told by a bit of their ids in a map of 16 bits or more for each of the wanted, up to 64 MB."""
+    size, names = 1 << min(29, max(16, (16 * wanted.count()).bit_length())), sets.columns
+
+    def marked(batches):
+        own = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (size - 1)
+            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for k, part in enumerate(np.array_split(own, 16)):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tobytes()], pa.binary())], names=["k", "bits"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        every = np.zeros(size // 128, np.uint8)
+        for c in table.column("bits"):
+            every |= np.frombuffer(c.as_py(), np.uint8)
+        return pa.table({"k": table.column("k").slice(0, 1), "bits": pa.array([every.tobytes()], pa.binary())})
+
+    ids = wanted.select(F.xxhash64("class_id").alias("id")).coalesce(16)
+    rows = sorted(ids.mapInArrow(marked, "k long, bits binary").groupBy("k").applyInArrow(joined, "k long, bits binary").collect())  # 16 rows
+    bits = sets.sparkSession.sparkContext.broadcast(np.frombuffer(b"".join(r["bits"] for r in rows) or bytes(size // 8), np.uint8))
+
+    def each(batches):
+        seen = set()  # copies of one task are sent once
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (size - 1)
+            rows = np.flatnonzero(bits.value[at >> 3] >> (at & 7) & 1)
+            ids = batch.column(1).take(pa.array(rows)).to_pylist()
+            seen = seen if len(seen) < SEEN else set()
+            rows = [r for r, i in zip(rows.tolist(), ids, strict=True) if not (i in seen or seen.add(i))]
+            for k in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(rows[k : k + 256])) for c in (1, 2)], names=names)
+
+    return sets.select(F.xxhash64("class_id").alias("at"), *sets.columns).mapInArrow(each, sets.schema)
+
+
+def _compared(t: float, n: int):
+    """Of rows in order of group, x, y and kind, sets (kind 0, id a) and then pairs (kind 1) of a group, the pairs a, b with the numbers of shingles in both and in either, if near."""
+
+    def each(batches):
+        at, sets = None, {}
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)
+            ends = np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys))
+            a, b, out = batch.column(4).to_numpy(), batch.column(5).to_numpy(), []
+            for start, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+                *group, kind = keys[start].tolist()
+                if group != at:
+                    at, sets = group, {}
+                if kind:
+                    out += [_common(sets, a[k : min(k + 4096, end)], b[k : min(k + 4096, end)], t) for k in range(start, end, 4096)]
+                    continue
+                held = batch.column(6).slice(start, end - start)
+                for k, i in enumerate(a[start:end].tolist()):
+                    one = held[k]
+                    if not pa.types.is_binary(one.type):
+                        sets.setdefault(i, []).append(np.sort(one.values.to_numpy()))  # several, if documents share an id
+                    elif i not in sets:
+                        sets[i] = [np.sort(hashes(one.as_py(), n))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T.copy()], names=["a", "b", "both", "either"])
+
+    return each
+
+
+def _common(sets: dict, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """a, b, both, either of the near pairs."""
+    out, order = [], np.argsort(a, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        ones = sets[int(a[rows[0]])]
+        for i, one, other in ((i, one, other) for i in rows.tolist() for one in ones for other in sets[int(b[i])]):
+            at = np.searchsorted(one, other)
+            both = int(np.count_nonzero(one[np.minimum(at, len(one) - 1)] == other))
+            either = len(one) + len(other) - both
+            if both >= t * either - 1e-9:
+                out.append((a[i], b[i], both, either))
+    return np.array(out, np.int64).reshape(-1, 4)
+
+
 def spanning_links(keys: DataFrame, sets: DataFrame, t: float, pivots: int = 1, growth: int = 8) -> DataFrame:
     """a, b: verified links that join the same sets as all links between sets that share a key. keys: class_id, n, gram.
 
@@ -165,11 +287,82 @@ def near_duplicates(documents: DataFrame, n: int = 5, t: float = 0.8) -> DataFra
     """a, b, score: all pairs of classes whose shingle sets have a Jaccard similarity of t or more. Exact.
 
     A family of m different near copies has m * (m - 1) / 2 such pairs: :func:`document_clusters` names its members without them."""
-    sets = hashed_sets(documents, n)
-    prefix = rare_grams(sets, t)
-    other = prefix.select(F.col("class_id").alias("b"), F.col("n").alias("m"), "gram")
-    pairs = prefix.join(other, "gram").where((F.col("class_id") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * t - 1e-9))
-    return _verified(pairs.select(F.col("class_id").alias("a"), "b").distinct(), sets, t)
+    _, sets, pairs = _near(documents, n, t)
+    of = lambda key, name: sets.select(F.col("key").alias(key), F.col("class_id").alias(name))
+    named = pairs.join(of("a", "u"), "a").join(of("b", "v"), "b").where("u <> v")
+    return named.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "score")
+
+
+def _near(documents: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, digest of every document; key, class_id, class_size, n of every class; a, b, score of near classes, by key. No set of shingles is kept or moved: they are made
+    once for the cells' counts, once for the rarest shingles and once more of the classes that are in a pair, where they are compared."""
+    scan, cells = _scan(documents, n)
+    found = scan.groupBy("digest").agg(F.first("key").alias("key"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.max("n").alias("n"))
+    sets = keep(found, "sets")
+    prefix = _shared_grams(_texts(documents), cells, n, t)
+    x, y = (prefix.select("gram", *[F.col(c).alias(c + k) for c in ("class_id", "n", "place", "before")]) for k in "ab")
+    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-9
+    # where this is the first shingle that both have, no more can be shared than the rest of either
+    enough = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb")) >= (F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-6
+    first = F.coalesce(F.col("beforea") != F.col("beforeb"), F.lit(True))  # else both have the one before it, too
+    pairs = x.join(y, "gram").where((F.col("class_ida") < F.col("class_idb")) & sizes & enough & first).select(F.col("class_ida").alias("a"), F.col("class_idb").alias("b")).distinct()
+    return scan, sets, _verified(pairs, sets.select(F.col("key").alias("class_id"), "n"), t, _texts(documents), n)
+
+
+def _scan(documents: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, digest, key (a hash of the tokens) and n (shingles; null of copies that a task has seen before) of each document, kept; and the shingles' counts by cell."""
+
+    def each(batches):
+        own, seen = np.zeros(CELLS, np.int64), set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, sizes, sets = batch.slice(at, 256), [], []
+                seen = seen if len(seen) < SEEN else set()
+                for key, line in zip(part.column("key").to_pylist(), part.column("line").to_pylist(), strict=True):
+                    new = line and not (key in seen or seen.add(key))
+                    sets += [hashes(line, n)] if new else []
+                    sizes.append(len(sets[-1]) if new else None if line else 0)
+                if sets:
+                    own += _by_cell(np.concatenate(sets))
+                none = [pa.nulls(len(sizes), kind) for kind in (pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "digest", "key")] + [pa.array(sizes, pa.int32()), *none], names=names)
+        for k, part in enumerate(np.array_split(own, 16)):
+            none = [pa.nulls(1, kind) for kind in (pa.int64(), pa.binary(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([k]), pa.array([part.tobytes()], pa.binary())], names=names)
+
+    names = ["doc_id", "digest", "key", "n", "k", "counts"]
+    lines = _lines(documents).select("doc_id", F.unhex(F.sha2("line", 256)).alias("digest"), F.xxhash64("line").alias("key"), F.col("line").cast("binary").alias("line"))
+    kept = keep(lines.mapInArrow(each, "doc_id long, digest binary, key long, n int, k long, counts binary"), "scan")
+    return kept.where("k is null").drop("k", "counts"), _summed(kept.where("k is not null").select("k", "counts"))
+
+
+def _shared_grams(texts: DataFrame, cells: np.ndarray, n: int, t: float) -> DataFrame:
+    """class_id, n, gram, place, before: of each text's rarest shingles (see :func:`rare_grams`) those that others have there, their place in its order and the one ahead of them."""
+    cells = texts.sparkSession.sparkContext.broadcast(cells)
+
+    def each(batches):
+        seen = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                seen = seen if len(seen) < SEEN else set()
+                own = [(i, line) for i, line in zip(part.column("class_id").to_pylist(), part.column("line").to_pylist(), strict=True) if not (i in seen or seen.add(i))]
+                if own:
+                    sets = [hashes(line, n) for _, line in own]
+                    sizes = np.array([len(s) for s in sets])
+                    row, grams, place = _rarest(np.concatenate(sets), sizes, cells.value, t)
+                    ids = np.array([i for i, _ in own], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(sizes[row].astype(np.int32)), pa.array(grams), pa.array(place.astype(np.int32))], names=["class_id", "n", "gram", "place"])
+
+    rarest = keep(texts.mapInArrow(each, "class_id long, n int, gram long, place int"), "rarest")
+    of = Window.partitionBy("gram")
+    shared = rarest.select("*", F.min("class_id").over(of).alias("low"), F.max("class_id").over(of).alias("high")).where("low < high").select("class_id", "n", "gram", "place").distinct()
+    return keep(shared.withColumn("before", F.lag("gram").over(Window.partitionBy("class_id").orderBy("place"))), "prefix")
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    """class_id (here a hash of the tokens), line of each document with tokens, copies too."""
+    return _lines(documents).where("line <> ''").select(F.xxhash64("line").alias("class_id"), F.col("line").cast("binary").alias("line"))
 
 
 def band_keys(sets: DataFrame, bands: int, rows: int) -> DataFrame:

@@ -92,3 +92,30 @@ def test_sets_are_hashed_in_tasks(spark):
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(duplicates, "shingles", lambda *a: used.append(a))
         assert duplicates.hashed_sets(df).count() == 5 and not used
+
+
+def test_links_are_counted_without_moving_sets_with_pairs(spark, docs, monkeypatch):
+    kept, keep, df = [], duplicates.keep, spark.createDataFrame(docs + [(500 + i, x) for i, x in docs[:3]], SCHEMA)
+    monkeypatch.setattr(duplicates, "keep", lambda df, *what: kept.append(keep(df, *what)) or kept[-1])
+    pairs, _ = brute(docs)
+    links = {i: sum(i in p for p in pairs) for i, _ in docs}
+    want = {(i, i, 1 + (i < 3), links[i]) for i in links} | {(500 + i, i, 2, links[i]) for i in range(3)}
+    for block in (1 << 22, 500):  # one group, and cells of large groups
+        monkeypatch.setattr(duplicates, "BLOCK", block, raising=False)
+        assert {tuple(r) for r in duplicates.near_duplicate_classes(df).collect()} == want
+    assert kept and not any("array" in kind for k in kept for _, kind in k.dtypes)  # sets are made where they are compared
+    plan = duplicates.near_duplicates(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan
+
+
+def test_shuffled_files_go_with_the_write(spark, docs):
+    from pathlib import Path
+
+    from loreforge.sources.tables import keep
+
+    folders = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders() for f in Path(d).rglob("shuffle_*_0.data")}
+    before = files()
+    kept = keep(spark.createDataFrame(docs, SCHEMA).repartition(3, "text"))
+    assert files() <= before
+    assert kept.count() == len(docs)
