@@ -10,8 +10,8 @@ from ..sources.tables import keep
 
 #: Cells into which shingles fall by their hashes, for the order of rare ones.
 CELLS = 1 << 18
-#: Shingles of a group of sets that one task compares, about; texts that a task remembers in order to pass over their copies.
-BLOCK, SEEN = 1 << 22, 1 << 20
+#: Shingles and pairs of a group of sets that one task compares, about; texts that a task remembers in order to pass over their copies.
+BLOCK, PAIRS, SEEN = 1 << 22, 1 << 16, 1 << 20
 
 
 def exact_duplicates(documents: DataFrame) -> DataFrame:
@@ -144,23 +144,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: float, texts: DataFrame | No
     """a, b, score of those pairs (a, b) whose sets are that similar. sets: class_id, n and grams; or class_id and n, with texts: class_id and line, of which shingles are made where they are compared.
 
     A pair goes to a group, named by the smallest id that either of the two is paired with: a family of near copies is one group. Only sets that are in a pair are
-    moved, once for each group that has them, and no pair carries a set. A group of more than ``BLOCK`` shingles is parted into cells of two parts of its sets each."""
+    moved, once for each group that has them, and no pair carries a set. A group of more than ``BLOCK`` shingles or ``PAIRS`` pairs is parted into cells of two parts of
+    its sets each. If sets have sketches (:func:`sketch`), pairs meet these first."""
     pairs = keep(_grouped(pairs), "candidates")
-    members = pairs.select("group", F.explode(F.array("a", "b")).alias("class_id"))
-    wanted = keep(members.distinct(), "wanted")
-    weights = wanted.join(sets.select("class_id", "n"), "class_id").groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
-    large = keep(weights.where("parts > 1"), "large")
-    if large.isEmpty():
-        pairs, wanted = (df.select("*", F.lit(0).alias("x"), F.lit(0).alias("y")) for df in (pairs, wanted))
-    else:
-        part = lambda id_: F.pmod(F.xxhash64(id_, F.lit(3)), F.coalesce("parts", F.lit(1))).cast("int")
-        pairs = pairs.join(large, "group", "left").select("group", "a", "b", F.least(part("a"), part("b")).alias("x"), F.greatest(part("a"), part("b")).alias("y"))
-        wanted = keep(pairs.select("group", "x", "y", F.explode(F.array("a", "b")).alias("class_id")).distinct(), "wanted")
+    of = lambda pairs, *at: pairs.select(*at, F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    wanted = keep(of(pairs, "group"), "wanted")
+    weights = wanted.join(sets.select("class_id", "n"), "class_id").groupBy("group").agg(F.sum("n").alias("n")).join(pairs.groupBy("group").count(), "group")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.sqrt(2 * F.col("count") / PAIRS))).cast("int").alias("parts")
+    large = keep(weights.select("group", parts).where("parts > 1"), "large")
+    part = lambda id_: F.pmod(F.xxhash64(id_, F.lit(3)), F.coalesce("parts", F.lit(1))).cast("int")
+    pairs = pairs.join(large, "group", "left").select("group", F.least(part("a"), part("b")).alias("x"), F.greatest(part("a"), part("b")).alias("y"), "a", "b")
+    if "sketch" in sets.columns:
+        wanted = keep(of(pairs, "group", "x", "y"), "wanted")
+        pairs = keep(_meet(sets.select("class_id", "n", "sketch").join(wanted, "class_id"), pairs, "sketch", _alike(t)), "alike").drop("both", "either")
+    wanted = keep(of(pairs, "group", "x", "y"), "wanted")
     what = "grams" if texts is None else "line"
-    held = _held((sets if texts is None else texts).select("class_id", what), wanted).join(wanted, "class_id").select("group", "x", "y", F.lit(0).alias("kind"), F.col("class_id").alias("a"), F.lit(0).cast("long").alias("b"), what)
-    asked = pairs.select("group", "x", "y", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast(held.schema[what].dataType).alias(what))
-    rows = held.union(asked).repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "kind")
-    found = rows.mapInArrow(_compared(t, n), "a long, b long, both long, either long")
+    held = _held((sets if texts is None else texts).select("class_id", what), wanted).join(wanted, "class_id")
+    found = _meet(held.withColumn("n", F.lit(0)), pairs, what, _near_sets(t, n))
     score = F.col("both") / F.col("either")
     return found.where(score >= t).select("a", "b", F.round(score, 6).alias("score"))
 
@@ -210,8 +210,11 @@ def _held(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.select(F.xxhash64("class_id").alias("at"), *sets.columns).mapInArrow(each, sets.schema)
 
 
-def _compared(t: float, n: int):
-    """Of rows in order of group, x, y and kind, sets (kind 0, id a) and then pairs (kind 1) of a group, the pairs a, b with the numbers of shingles in both and in either, if near."""
+def _meet(held: DataFrame, pairs: DataFrame, what: str, compared) -> DataFrame:
+    """group, x, y, a, b, both, either: what compared gives of the pairs (group, x, y, a, b) and of the sets held (group, x, y, class_id, n, what) where they meet."""
+    held = held.select("group", "x", "y", F.lit(0).alias("kind"), F.col("class_id").alias("a"), F.col("n").cast("long").alias("b"), what)
+    asked = pairs.select("group", "x", "y", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast(held.schema[what].dataType).alias(what))
+    rows = held.union(asked).repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "kind")  # sets, then pairs
 
     def each(batches):
         at, sets = None, {}
@@ -224,33 +227,53 @@ def _compared(t: float, n: int):
                 if group != at:
                     at, sets = group, {}
                 if kind:
-                    out += [_common(sets, a[k : min(k + 4096, end)], b[k : min(k + 4096, end)], t) for k in range(start, end, 4096)]
+                    order = start + np.argsort(a[start:end], kind="stable")
+                    near = [(*group, i, j, *one) for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True) for x in sets[i] for y in sets[j] for one in compared(x, y)]
+                    out += [np.array(near, np.int64)] if near else []
                     continue
-                held = batch.column(6).slice(start, end - start)
-                for k, i in enumerate(a[start:end].tolist()):
-                    one = held[k]
-                    if not pa.types.is_binary(one.type):
-                        sets.setdefault(i, []).append(np.sort(one.values.to_numpy()))  # several, if documents share an id
-                    elif i not in sets:
-                        sets[i] = [np.sort(hashes(one.as_py(), n))]
+                for k, (i, size) in enumerate(zip(a[start:end].tolist(), b[start:end].tolist(), strict=True), start):
+                    if i not in sets or what == "grams":  # copies have one hash; several sets are those of documents that share an id
+                        sets.setdefault(i, []).append(compared(batch.column(6)[k], size, read=True))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T.copy()], names=["a", "b", "both", "either"])
+                columns = np.concatenate(out).T.copy()
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if k in (1, 2) else c) for k, c in enumerate(columns)], names=["group", "x", "y", "a", "b", "both", "either"])
+
+    return rows.mapInArrow(each, "group long, x int, y int, a long, b long, both long, either long")
+
+
+def _near_sets(t: float, n: int):
+    """The numbers of shingles in both and in either of two sets, if near; or a set as it is read."""
+
+    def compared(x, y, read=False):
+        if read:
+            return np.sort(hashes(x.as_py(), n) if pa.types.is_binary(x.type) else x.values.to_numpy())
+        both = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
+        either = len(x) + len(y) - both
+        return [(both, either)] if both >= t * either - 1e-9 else []
+
+    return compared
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """For each of some bits, a power of two and the set's size or more, whether an odd number of shingles fall on it: two sets differ in as many shingles at least as
+    their sketches in bits. The halves of a sketch, added up, are the sketch of half the size."""
+    bits = max(64, 1 << (len(grams) - 1).bit_length())
+    return np.packbits((np.bincount(grams & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
 
-    return each
+def _alike(t: float):
+    """The bits in which two sketches differ and the most that may differ, if they may be those of near sets; or a sketch with its set's size as it is read."""
 
+    def compared(x, y, read=False):
+        if read:
+            return np.frombuffer(x.as_py(), np.uint64), y
+        (x, n), (y, m) = sorted((x, y), key=lambda one: len(one[0]))
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        differ, most = int(np.bitwise_count(x ^ y).sum()), (n + m) * (1 - t) / (1 + t) + 1e-6
+        return [(differ, int(most))] if differ <= most else []
 
-def _common(sets: dict, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-    """a, b, both, either of the near pairs."""
-    out, order = [], np.argsort(a, kind="stable")
-    for rows in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
-        ones = sets[int(a[rows[0]])]
-        for i, one, other in ((i, one, other) for i in rows.tolist() for one in ones for other in sets[int(b[i])]):
-            at = np.searchsorted(one, other)
-            both = int(np.count_nonzero(one[np.minimum(at, len(one) - 1)] == other))
-            either = len(one) + len(other) - both
-            if both >= t * either - 1e-9:
-                out.append((a[i], b[i], both, either))
-    return np.array(out, np.int64).reshape(-1, 4)
+    return compared
 
 
 def spanning_links(keys: DataFrame, sets: DataFrame, t: float, pivots: int = 1, growth: int = 8) -> DataFrame:
@@ -297,46 +320,48 @@ def _near(documents: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame,
     """doc_id, digest of every document; key, class_id, class_size, n of every class; a, b, score of near classes, by key. No set of shingles is kept or moved: they are made
     once for the cells' counts, once for the rarest shingles and once more of the classes that are in a pair, where they are compared."""
     scan, cells = _scan(documents, n)
-    found = scan.groupBy("digest").agg(F.first("key").alias("key"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.max("n").alias("n"))
+    found = scan.groupBy("digest").agg(F.first("key").alias("key"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     sets = keep(found, "sets")
-    prefix = _shared_grams(_texts(documents), cells, n, t)
+    own = sets.where("n > 0").select(F.col("key").alias("class_id"), "n", "sketch")
+    prefix = _shared_grams(_texts(documents), own.select("class_id", "n"), cells, n, t)
     x, y = (prefix.select("gram", *[F.col(c).alias(c + k) for c in ("class_id", "n", "place", "before")]) for k in "ab")
     sizes = F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-9
     # where this is the first shingle that both have, no more can be shared than the rest of either
     enough = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb")) >= (F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-6
     first = F.coalesce(F.col("beforea") != F.col("beforeb"), F.lit(True))  # else both have the one before it, too
     pairs = x.join(y, "gram").where((F.col("class_ida") < F.col("class_idb")) & sizes & enough & first).select(F.col("class_ida").alias("a"), F.col("class_idb").alias("b")).distinct()
-    return scan, sets, _verified(pairs, sets.select(F.col("key").alias("class_id"), "n"), t, _texts(documents), n)
+    return scan, sets, _verified(pairs, own, t, _texts(documents), n)
 
 
 def _scan(documents: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, digest, key (a hash of the tokens) and n (shingles; null of copies that a task has seen before) of each document, kept; and the shingles' counts by cell."""
+    """doc_id, digest, key (a hash of the tokens), n (shingles) and sketch of each document, kept; and the shingles' counts by cell. Copies that a task has seen before have no n and no sketch."""
 
     def each(batches):
         own, seen = np.zeros(CELLS, np.int64), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part, sizes, sets = batch.slice(at, 256), [], []
+                part, sizes, sketches, sets = batch.slice(at, 256), [], [], []
                 seen = seen if len(seen) < SEEN else set()
                 for key, line in zip(part.column("key").to_pylist(), part.column("line").to_pylist(), strict=True):
                     new = line and not (key in seen or seen.add(key))
                     sets += [hashes(line, n)] if new else []
                     sizes.append(len(sets[-1]) if new else None if line else 0)
+                    sketches.append(sketch(sets[-1]) if new else None)
                 if sets:
                     own += _by_cell(np.concatenate(sets))
                 none = [pa.nulls(len(sizes), kind) for kind in (pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "digest", "key")] + [pa.array(sizes, pa.int32()), *none], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "digest", "key")] + [pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), *none], names=names)
         for k, part in enumerate(np.array_split(own, 16)):
-            none = [pa.nulls(1, kind) for kind in (pa.int64(), pa.binary(), pa.int64(), pa.int32())]
+            none = [pa.nulls(1, kind) for kind in (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array([k]), pa.array([part.tobytes()], pa.binary())], names=names)
 
-    names = ["doc_id", "digest", "key", "n", "k", "counts"]
+    names = ["doc_id", "digest", "key", "n", "sketch", "k", "counts"]
     lines = _lines(documents).select("doc_id", F.unhex(F.sha2("line", 256)).alias("digest"), F.xxhash64("line").alias("key"), F.col("line").cast("binary").alias("line"))
-    kept = keep(lines.mapInArrow(each, "doc_id long, digest binary, key long, n int, k long, counts binary"), "scan")
+    kept = keep(lines.mapInArrow(each, "doc_id long, digest binary, key long, n int, sketch binary, k long, counts binary"), "scan")
     return kept.where("k is null").drop("k", "counts"), _summed(kept.where("k is not null").select("k", "counts"))
 
 
-def _shared_grams(texts: DataFrame, cells: np.ndarray, n: int, t: float) -> DataFrame:
+def _shared_grams(texts: DataFrame, sizes: DataFrame, cells: np.ndarray, n: int, t: float) -> DataFrame:
     """class_id, n, gram, place, before: of each text's rarest shingles (see :func:`rare_grams`) those that others have there, their place in its order and the one ahead of them."""
     cells = texts.sparkSession.sparkContext.broadcast(cells)
 
@@ -349,15 +374,14 @@ def _shared_grams(texts: DataFrame, cells: np.ndarray, n: int, t: float) -> Data
                 own = [(i, line) for i, line in zip(part.column("class_id").to_pylist(), part.column("line").to_pylist(), strict=True) if not (i in seen or seen.add(i))]
                 if own:
                     sets = [hashes(line, n) for _, line in own]
-                    sizes = np.array([len(s) for s in sets])
-                    row, grams, place = _rarest(np.concatenate(sets), sizes, cells.value, t)
+                    row, grams, place = _rarest(np.concatenate(sets), np.array([len(s) for s in sets]), cells.value, t)
                     ids = np.array([i for i, _ in own], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(sizes[row].astype(np.int32)), pa.array(grams), pa.array(place.astype(np.int32))], names=["class_id", "n", "gram", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(grams), pa.array(place.astype(np.int32))], names=["class_id", "gram", "place"])
 
-    rarest = keep(texts.mapInArrow(each, "class_id long, n int, gram long, place int"), "rarest")
+    rarest = keep(texts.mapInArrow(each, "class_id long, gram long, place int"), "rarest")
     of = Window.partitionBy("gram")
-    shared = rarest.select("*", F.min("class_id").over(of).alias("low"), F.max("class_id").over(of).alias("high")).where("low < high").select("class_id", "n", "gram", "place").distinct()
-    return keep(shared.withColumn("before", F.lag("gram").over(Window.partitionBy("class_id").orderBy("place"))), "prefix")
+    shared = rarest.select("*", F.min("class_id").over(of).alias("low"), F.max("class_id").over(of).alias("high")).where("low < high").select("class_id", "gram", "place").distinct()
+    return keep(shared.join(sizes, "class_id").withColumn("before", F.lag("gram").over(Window.partitionBy("class_id").orderBy("place"))), "prefix")
 
 
 def _texts(documents: DataFrame) -> DataFrame:

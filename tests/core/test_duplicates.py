@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from loreforge.operators import duplicates
@@ -119,3 +121,31 @@ def test_shuffled_files_go_with_the_write(spark, docs):
     kept = keep(spark.createDataFrame(docs, SCHEMA).repartition(3, "text"))
     assert files() <= before
     assert kept.count() == len(docs)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets(spark):
+    rng = np.random.default_rng(4)
+    compared = duplicates._alike(0.8)
+    for n in (1, 3, 64, 65, 700, 4000):
+        whole = np.unique(rng.integers(-(1 << 62), 1 << 62, 2 * n))
+        base = whole[:n]
+        for m in sorted({1, n // 2 or 1, n - n // 10, n}):
+            for other in (base[:m], np.sort(np.concatenate([base[n - m // 2 :], whole[n:][: m - m // 2]]))):
+                x, y = (compared(pa.scalar(duplicates.sketch(g), pa.binary()), len(g), read=True) for g in (base, other))
+                both = len(np.intersect1d(base, other))
+                found = compared(x, y)
+                assert found == compared(y, x) and all(d <= n + len(other) - 2 * both for d, _ in found)
+                assert found or both < 0.8 * (n + len(other) - both)
+                assert not found or n < 64 or m < 0.8 * n or both > 0.4 * (n + len(other) - both)  # and others are told apart
+
+
+def test_texts_of_unlike_sketches_are_not_moved(spark, docs, monkeypatch):
+    kept, keep, df = {}, duplicates.keep, spark.createDataFrame(docs, SCHEMA)
+    monkeypatch.setattr(duplicates, "keep", lambda df, what="kept": kept.setdefault(what, []).append(keep(df, what)) or kept[what][-1])
+    pairs, _ = brute(docs)
+    for most in (1 << 16, 50):  # a group's pairs in one cell, and in several
+        monkeypatch.setattr(duplicates, "PAIRS", most, raising=False)
+        kept.clear()
+        assert {(r["a"], r["b"]) for r in duplicates.near_duplicates(df).collect()} == pairs
+        assert len(pairs) <= kept["alike"][0].count() <= kept["candidates"][0].count()
+        assert kept["large"][0].isEmpty() == (most > 50)
